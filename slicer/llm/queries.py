@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicer.llm import decontaminate, packing, simhash, toxicity
+from slicer.llm import decontaminate, packing, simhash, substrings, toxicity
 from slicer.llm.session import read_table
 
 
@@ -13,6 +13,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(read_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,5 +32,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_decontamination": op7_decontamination}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_substring_dedup": op4_substring_dedup, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_decontamination": op7_decontamination}
 ORACLE_SQL: dict[str, str] = {}

@@ -38,8 +38,8 @@ def test_plan_covers_demand_with_little_waste():
     got = packing.plan(demand)
     assert (sum(p * t for p, t in got) == demand).all()
     assert all((p * np.arange(1, 65)).sum() <= 64 for p, _ in got)
-    used, least = sum(t for _, t in got), (demand * np.arange(1, 65)).sum() / 64
-    assert used <= least * 1.01 + 3
+    bound = packing.column_generation(demand.astype(float))[1].sum()  # no packing without cuts uses fewer
+    assert bound - 1e-6 <= sum(t for _, t in got) <= bound + 5
 
 
 def test_best_pattern_is_optimal():
