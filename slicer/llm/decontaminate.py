@@ -163,7 +163,7 @@ def _counts(keys: dict[int, np.ndarray]):
     return run
 
 
-def _mark(block, last: bool):
+def _mark(block, last: bool, carry: bool):
     """Add a block's occurrences to the spans and items of each document; the last pass digests them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,9 @@ def _mark(block, last: bool):
                     local = start[sl] - w.first[t]
                     spans[first + t] = np.concatenate([spans[first + t], np.stack([local, local + b.length[win[sl]]], 1)])
                     items[first + t].update(x for i in np.unique(win[sl]).tolist() for x in b.items[i])
+            row = [batch["row"]] if carry else []
             if not last:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([s.astype("<i4").tobytes() for s in spans], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*row, batch["doc_id"], batch["text"], pa.array([s.astype("<i4").tobytes() for s in spans], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*["row"][: len(row)], "doc_id", "text", "spans", "items"])
                 continue
             for t, s in enumerate(spans):
                 if len(s):
@@ -198,20 +199,28 @@ def _mark(block, last: bool):
                     np.add.at(edge, s[:, 1], -1)
                     n_hit[t] = (np.cumsum(edge) > 0).sum()
             digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words), pa.array(n_hit), pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*row, batch["doc_id"], pa.array(n_words), pa.array(n_hit), pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0)], [*["row"][: len(row)], "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 200_000) -> DataFrame:
-    """For every row: words, words inside an occurrence of a window, items with occurring windows."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 200_000, carry: bool = False) -> DataFrame:
+    """For every row: words, words inside an occurrence of a window, items with occurring windows.
+
+    ``carry`` adds the whole row as a struct, ``row``.
+    """
     spark = documents.sparkSession
     bound_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     n_words = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
     n_blocks = max(1, -(-n_words // block_words))
-    state = docs.withColumns({"spans": F.lit(b"").cast("binary"), "items": F.array().cast("array<string>")})
+    state, kept = docs, ""
+    if carry:
+        whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+        state = documents.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        kept = f"row {state.schema['row'].dataType.simpleString()}, "
+    state = state.withColumns({"spans": F.lit(b"").cast("binary"), "items": F.array().cast("array<string>")})
     for i in range(n_blocks):
         rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == i).toLocalIterator()]  # about block_words words
         found = item_windows(rows, width)
@@ -225,11 +234,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 10
             counted = docs.select("text").mapInArrow(_counts(keys), "size int, shingle bigint, n bigint").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
             counts = {(r["size"], r["shingle"] & (1 << 64) - 1): r["n"] for r in counted}
         last = i == n_blocks - 1
-        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(build(found, counts)), last), RESULT if last else STATE)
+        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(build(found, counts)), last, carry), kept + (RESULT if last else STATE))
     return state
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any occurrence of a benchmark window, with all their columns."""
-    bad = decontaminate(documents, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return documents.join(bad, documents.doc_id.cast("long").eqNullSafe(bad.doc_id), "left_anti")
+    return decontaminate(documents, benchmark, carry=True, **options).where("not contaminated").select("row.*")

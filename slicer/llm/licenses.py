@@ -58,7 +58,8 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *,
     """doc_id, license (the best match's), dice, licenses (all that match), n_units (units that match) of every row."""
     grams = [(name, bigrams(normalised(text))) for name, text in templates]
     sizes = [len(g) for _, g in grams]
-    low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
+    slack = 1e-9  # the bounds are met exactly at times
+    low, high = min(sizes) * least / (2 - least) - slack, max(sizes) * (2 - least) / least + slack
     clean = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^a-z0-9\n]+", " ")
     paragraphs = F.filter(F.split(clean, r"\n *\n\s*"), lambda p: F.contains(p, F.lit("\n")))
     units = F.concat(F.split(clean, "\n"), F.transform(paragraphs, lambda p: F.regexp_replace(p, r"\s+", " ")))
@@ -70,7 +71,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *,
     def matches(g: Column) -> Column:
         out = []
         for (name, template), b in zip(grams, sizes, strict=True):
-            fits = (F.size(g) >= b * least / (2 - least)) & (F.size(g) <= b * (2 - least) / least)
+            fits = (F.size(g) >= b * least / (2 - least) - slack) & (F.size(g) <= b * (2 - least) / least + slack)
             dice = F.when(fits, 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, template)))) / (F.size(g) + b))
             out.append(F.struct((-dice).alias("minus"), F.lit(name).alias("name")))
         return F.filter(F.array(*out), lambda m: m["minus"] <= -least)

@@ -211,5 +211,22 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_scored(model), SCHEMA)
 
 
+def _clean(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
+        for batch in batches:
+            z = [model.offset + model.slope * evidence(t, scores)[0] for t in batch["text"].to_pylist()]
+            yield batch.select(["row"]).filter(pa.array([x < 0 for x in z], pa.bool_()))
+
+    return run
+
+
+def clean(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` that are not predicted toxic, with all their columns and without a shuffle."""
+    bound_batches(documents.sparkSession)
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_clean(model), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(documents, fit(documents, labels, **options))

@@ -84,7 +84,8 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file:
     """Archive ``pages`` (page_id, url, html) as WARC files under ``path``."""
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).mapInArrow(_digests, "page_id bigint, url string, html string, digest string, size bigint")
-    heads = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("head"))
+    # a table of its own, so that adaptive execution can split a common payload's rows in the join
+    heads = checkpointed(rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("head")))
     marked = rows.join(heads, ["digest", "size"], "left").withColumn("refers_to", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")))
     out = marked.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(_records, "value string")
     out.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
