@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicer.llm.session import bound_batches
+from slicer.llm.session import bound_batches, checkpointed
 from slicer.llm.words import U64, WORD_BASES, Words, chunks, is_plain, mix, windows, words
 
 LAST = (1 << 63) - 1
@@ -225,13 +225,15 @@ def later_spans(documents: DataFrame, *, window: int = 20, crowd: int = 5000) ->
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     hashed = docs.select("doc", F.xxhash64("text").alias("h"))
     clash = not hashed.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").isEmpty()
-    tag = F.xxhash64("text") if clash else F.lit(0).cast("long")
+    tag = F.xxhash64("text") if clash else F.expr("doc & 0L")  # not a literal, so that it stays a join key
     docs = docs.withColumn("tag", tag)
     anchors = docs.select("doc", "tag", "text").mapInArrow(_level_one(window), "key bigint, doc bigint, tag bigint, pos int")
-    repeated = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that adaptive execution can split a common key's rows in the join
+    repeated = checkpointed(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     marks = anchors.join(repeated, "key").select("doc", "tag", F.expr(f"pos * 2L + int(n > {crowd})").alias("mark"))
     marks = marks.groupBy("doc", "tag").agg(F.collect_list("mark").alias("anchors"))  # as long as the document at most
-    records = docs.select("doc", "tag", "text").join(marks.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "anchors").mapInArrow(_level_two(window), LEVEL_TWO)
+    # with the same columns as in removed(), so that texts are exchanged once for both
+    records = docs.join(marks.hint("shuffle_hash"), ["doc", "tag"]).select("doc_id", "doc", "tag", "text", "anchors").mapInArrow(_level_two(window), LEVEL_TWO)
     # both kinds of rows pass one exchange: settled spans are spread by document
     dealt = records.withColumn("to", F.coalesce("key", F.xxhash64("doc", "tag", "span"))).repartition("to").sortWithinPartitions("key", "doc", "tag", "start")
     found = dealt.mapInArrow(_pass_or_settle, "doc bigint, tag bigint, span bigint")
