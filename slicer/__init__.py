@@ -1,0 +1 @@
+"""Referentially intact, masked subsets of relational data as Spark plans."""
