@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicer.llm import decontaminate, html, licenses, packing, repetition, simhash, substrings, toxicity, urls, warc
+from slicer.llm import decontaminate, html, licenses, oracles, packing, repetition, simhash, substrings, toxicity, urls, warc
 from slicer.llm.session import read_table
 
 
@@ -50,7 +50,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality(read_table(spark, sf_dir, "documents"))
+    found = repetition.quality(read_table(spark, sf_dir, "documents"))
+    return found.drop("covered", "longest_repeat")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_licenses, op3_url_filter, op4_substring_dedup, op5_simhash, op6_packing, op7_decontamination, op8_html_extraction, op9_quality_rules, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_licenses": oracles.licenses(),
+    "op3_url_filter": oracles.urls(URL_RULES),
+    "op4_substring_dedup": oracles.substrings(),
+    "op7_decontamination": oracles.decontamination(),
+    "op9_quality_rules": oracles.quality(),
+    "op10_warc": oracles.warc(),
+}
