@@ -40,7 +40,7 @@ class CatalogSource:
         self.spark, self.database, self.versions = spark, database, dict(versions or {})
 
     def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 
     def table(self, name: str) -> DataFrame:
         version = f" VERSION AS OF {self.versions[name]}" if name in self.versions else ""
