@@ -12,6 +12,12 @@ split once more by the blocks of their remaining bits, by the same argument.
 Links are returned as stars inside each subtrie, a forest with the same connected
 components as all links.
 
+``near_duplicates`` links fingerprints within a few bits. Texts that share 0.8 of their
+five-word shingles differ in about 8 of 64 bits, which such a budget misses, so
+``similar_documents`` takes several tables of short fingerprints (signs of random
+projections), lets the trie join propose pairs in each and accepts those whose shingle
+similarity, estimated from a 128-byte min-hash signature beside the fingerprint, is high enough.
+
 Defined results: null texts and texts without a word have fingerprint zero and
 are linked like any other; rows with a null doc_id get the component of equal
 fingerprints, else null; repeated rows are returned each; further columns are dropped.
@@ -19,7 +25,9 @@ fingerprints, else null; repeated rows are returned each; further columns are dr
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 
 from slicer.llm.graph import components
 from slicer.llm.session import bound_batches, checkpointed
+from slicer.llm.words import U64, Words, chunks, is_plain, lower_ascii, windows, words
 
 BITS = 64
 
@@ -85,25 +94,42 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def trie_join(values: np.ndarray, distance: int, leaf: int = 64) -> np.ndarray:
-    """Roots (indices) of the groups of sorted distinct ``values`` linked within ``distance`` bits.
+def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, bits: int = BITS) -> np.ndarray:
+    """Roots (indices) of the groups of sorted ``values`` linked within ``distance`` bits.
 
-    A trie node is a run of the sorted values that share their leading bits.
+    A trie node is a run of the sorted values that share their leading bits. ``similar``
+    (of two arrays of indices) decides about pairs within the distance that are not yet connected.
     """
     forest = Forest(len(values))
-    todo = [(0, len(values), 0, len(values), BITS - 1, 0)]
+    todo = [(0, len(values), 0, len(values), bits - 1, 0)]
     while todo:
         a, b, c, d, bit, spent = todo.pop()
         if a == b or c == d:
             continue
-        if spent + bit + 1 <= distance:  # all remaining bits may differ
+        if similar is None and spent + bit + 1 <= distance:  # all remaining bits may differ
             for i in range(a + 1, b):
                 forest.link(a, i)
             for j in range(c, d):
                 forest.link(a, j)
             continue
+        if bit < 0 and (b - a) * (d - c) > leaf * leaf:  # equal fingerprints: blocks of them
+            mid = [(lo + hi) // 2 for lo, hi in ((a, b), (c, d))]
+            halves = [[(a, mid[0]), (mid[0], b)], [(c, mid[1]), (mid[1], d)]]
+            todo += [(*x, *y, bit, spent) for x in halves[0] for y in halves[1] if x[0] < y[1]]
+            continue
         if (b - a) * (d - c) <= leaf * leaf:
             near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= distance
+            if similar is not None:
+                i, j = np.nonzero(near)
+                i, j = (a + i)[a + i < c + j], (c + j)[a + i < c + j]
+                roots = {int(k): forest.root(int(k)) for k in np.unique(np.concatenate([i, j]))}
+                apart = np.array([roots[x] != roots[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[apart], j[apart]
+                if len(i):
+                    ok = similar(i, j)
+                    for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                        forest.link(x, y)
+                continue
             for i, j in zip(*np.nonzero(near), strict=True):
                 if a + i < c + j:
                     forest.link(a + int(i), c + int(j))
@@ -185,7 +211,132 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, distance: int = 2
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# --- by similarity ------------------------------------------------------------------
+
+SKETCH = 1024
+BINS = 128
+SIGNED = "doc_id bigint, digest binary, tables array<bigint>, signature binary"
+
+
+@cache
+def projection(columns: int, seed: int = 20) -> np.ndarray:
+    """A fixed matrix of random signs."""
+    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (SKETCH, columns))
+
+
+def signatures(buf: np.ndarray, off: np.ndarray, n_tables: int, bits: int, projected: int, compared: int) -> tuple[np.ndarray, np.ndarray, Words]:
+    """For each text: its fingerprints (texts x tables) and its min-hash signature (texts x BINS bytes, 0: empty)."""
+    low = lower_ascii(buf)
+    w = words(low, off, is_plain(low))
+    n, h, text = len(off) - 1, w.hashes(), w.text_of()
+
+    def shingles(size: int) -> tuple[np.ndarray, np.ndarray]:
+        s = windows(h, size)
+        inside = text[: len(s)] == text[size - 1 : size - 1 + len(s)]
+        return s[inside], text[: len(s)][inside]
+
+    s, t = shingles(projected)
+    flat = t * SKETCH + (s & U64(SKETCH - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * ((s >> U64(20)) & U64(1)).astype(np.float64)
+    sketch = np.bincount(flat, sign, n * SKETCH).reshape(n, SKETCH).astype(np.float32)
+    ones = (sketch @ projection(n_tables * bits) > 0).reshape(n, n_tables, bits)
+    tables = (ones * (U64(1) << np.arange(bits, dtype=U64))).sum(2, dtype=U64)
+    s, t = shingles(compared)
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, U64)
+    np.minimum.at(least, t * BINS + (s & U64(BINS - 1)).astype(np.int64), s >> U64(7))
+    code = np.where(least == np.iinfo(np.uint64).max, 0, 1 + least % U64(255)).astype(np.uint8)
+    return tables, code.reshape(n, BINS), w
+
+
+def _signed(n_tables: int, bits: int, projected: int, compared: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, buf, off in chunks(batch["text"]):
+                tables, code, w = signatures(buf, off, n_tables, bits, projected, compared)
+                n, data = len(off) - 1, w.buf.tobytes()
+                digest = [hashlib.md5(b" ".join(data[a:b].split()), usedforsecurity=False).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * n_tables, n_tables, dtype=np.int32)), pa.array(tables.reshape(-1).view(np.int64)))
+                some = code.any(1)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, n), pa.array(digest, pa.binary()), lists, pa.array([c.tobytes() if x else None for c, x in zip(code, some.tolist(), strict=True)], pa.binary())], ["doc_id", "digest", "tables", "signature"])
+
+    return run
+
+
+def _similar_subtries(distance: int, least: float, bits: int):
+    """Stars (a, b) of verified links in each key's subtrie; rows come sorted by key."""
+
+    def join(fp: np.ndarray, node: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((node, fp))
+        fp, node, code = fp[order], node[order], code[order]
+
+        def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            x, y = code[i], code[j]
+            both, either = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
+            return both >= least * either
+
+        root = trie_join(fp, distance, similar=similar, bits=bits)
+        other = root != np.arange(len(root))
+        return node[other], node[root[other]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty((0, BINS), np.uint8)]
+        parts: list[list[np.ndarray]] = []
+
+        def flush(key, fp, node, code):
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            pairs = [join(fp[i:j], node[i:j], code[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
+            parts.append([batch["key"].to_numpy(zero_copy_only=False), batch["fp"].to_numpy(zero_copy_only=False).view(U64), batch["node"].to_numpy(zero_copy_only=False), code])
+            if len(parts) > 1 and parts[-1][0][-1] == parts[0][0][0]:
+                continue  # the same key goes on
+            left = [np.concatenate([p[k] for p in parts]) for k in range(4)]
+            whole = int(np.searchsorted(left[0], left[0][-1]))
+            if whole:
+                yield flush(*(x[:whole] for x in left))
+            parts = [[x[whole:] for x in left]]
+        if parts:
+            yield flush(*[np.concatenate([p[k] for p in parts]) for k in range(4)])
+
+    return run
+
+
+def similar_documents(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5, projected: int = 3, n_tables: int = 8, bits: int = 32, distance: int = 2, most: int = 20_000) -> DataFrame:
+    """(doc_id, component_id): documents linked if they share ``similarity`` of their ``compared``-word shingles.
+
+    ``bits`` grows with the logarithm of the number of documents, so that chance candidates stay rare.
+    Texts of fewer than ``compared`` words are linked to equal ones only.
+    """
+    bound_batches(documents.sparkSession)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = checkpointed(rows.mapInArrow(_signed(n_tables, bits, projected, compared), SIGNED))
+    classes = checkpointed(rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("tables").alias("tables"), F.first("signature").alias("signature")))
+    parts = distance + 1
+    blocks = _cuts(bits, parts)
+    wide = classes.where("signature is not null").select("node", "signature", F.posexplode("tables").alias("t", "fp"))
+    tops = [F.expr(f"struct({i} as i, {_block('fp', lo, hi)} as top)") for i, (lo, hi) in enumerate(blocks)]
+    rows_of = lambda df, *more: df.select("node", "fp", "t", *more, F.explode(F.array(*tops)).alias("x")).select("node", "fp", *more, "x.i", F.expr(f"(x.top * {parts} + x.i) * {n_tables} + t").alias("key"))
+    crowded = checkpointed(rows_of(wide).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("crowded")))
+    spread = rows_of(wide, "signature")
+    if not crowded.isEmpty():  # split by blocks of the bits outside the top, as in links()
+        small = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
+        below = []
+        for i, (lo, hi) in enumerate(blocks):
+            rest = " + ".join(([f"({_block('fp', hi, bits)} << {lo})"] if hi < bits else []) + ([_block("fp", 0, lo)] if lo else []))
+            below.append(f"when i = {i} then array({', '.join(f'xxhash64(key, {j}, {_block(chr(40) + rest + chr(41), a, b)})' for j, (a, b) in enumerate(_cuts(bits - (hi - lo), parts)))})")
+        marked = spread.join(small, "key", "left")
+        spread = marked.select("node", "fp", "signature", F.explode(F.when(F.col("crowded"), F.expr(f"case {' '.join(below)} end")).otherwise(F.array("key"))).alias("key"))
+    stars = spread.select("key", "fp", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_similar_subtries(distance, similarity, bits), "a bigint, b bigint")
+    found = components(stars)
+    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
+
+
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The document of each group with the smallest doc_id, with all columns of ``documents``."""
-    keep = near_duplicates(documents, **options).where("doc_id = component_id").select("doc_id").distinct()
+    """The document of each group of similar ones with the smallest doc_id, with all columns; rows without doc_id go."""
+    keep = similar_documents(documents, **options).where("doc_id = component_id").select("doc_id").distinct()
     return documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)

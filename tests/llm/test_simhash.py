@@ -44,9 +44,6 @@ def test_whole_operator(spark):
     for r in got:
         if r.doc_id not in (None,):
             assert r.component_id == comp[r.doc_id] or r.doc_id == 7
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp[d] for d in comp))
     assert simhash.near_duplicates(cases.empty(spark)).collect() == []
 
 
@@ -70,3 +67,46 @@ def test_trie_join_and_splitting(spark):
     for most in (20_000, 2):  # with 2, almost all subtries are split again
         got = {c.node: c.component for c in components(simhash.links(classes, 2, most)).collect()}
         assert [got.get(i, i) for i in range(len(v))] == brute_roots(v, 2)
+
+
+def jaccard(a, b):
+    def of(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    x, y = of(a), of(b)
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_similar_documents(spark):
+    import random
+
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [[r.choice(vocabulary) for _ in range(r.randrange(80, 400))] for _ in range(60)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for changes in (1, 3, 40):
+            v = list(w)
+            for _ in range(changes):
+                v[r.randrange(len(v))] = r.choice(vocabulary)
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[0].upper(), None, "", "a b", "A  b", "a c"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[1], "x"), (3, texts[3], "x")], "doc_id bigint, text string, digest string")
+    for most in (20_000, 5):
+        comp = {x.doc_id: x.component_id for x in simhash.similar_documents(docs, most=most).collect() if x.doc_id is not None}
+        n = len(base)
+        for i in range(n):
+            for k in range(3):
+                j = jaccard(texts[i], texts[n + 3 * i + k])
+                if j >= 0.88:
+                    assert comp[n + 3 * i + k] == comp[i]
+                elif j < 0.6:
+                    assert comp[n + 3 * i + k] != comp[i]
+        assert len({comp[i] for i in range(n)}) == n
+        m = len(texts)
+        assert comp[m - 7] == comp[m - 6] == comp[0] and comp[m - 5] == comp[m - 4] == m - 5 and comp[m - 2] == comp[m - 3] == m - 3 and comp[m - 1] == m - 1
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for c in comp.values()})
+    assert simhash.similar_documents(docs.limit(0)).collect() == []
