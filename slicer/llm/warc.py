@@ -3,7 +3,7 @@
 Writing. Payloads of equal SHA-1 and size are one group, found by a maximum that combines
 before the shuffle; the largest page_id's record is the response, the others revisit it.
 A record is its header, an empty line and its block; the writer's line separator (two line
-breaks) ends it, so each part file is a plain WARC file.
+breaks) ends it, so each part file is a WARC file, compressed as a whole.
 
 Reading. The magic may also stand inside a payload. Tasks look at each place of the magic
 in a file, parse what would be a header there and emit (offset, successor). Only records
@@ -19,6 +19,7 @@ for the largest page_id are each a response; an empty table writes and reads not
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -80,7 +81,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], ["value"])
 
 
-def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file: int = 4000) -> None:
+def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file: int = 2000) -> None:
     """Archive ``pages`` (page_id, url, html) as WARC files under ``path``."""
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).mapInArrow(_digests, "page_id bigint, url string, html string, digest string, size bigint")
@@ -88,7 +89,7 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file:
     heads = checkpointed(rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("head")))
     marked = rows.join(heads, ["digest", "size"], "left").withColumn("refers_to", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")))
     out = marked.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(_records, "value string")
-    out.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 # --- reading ----------------------------------------------------------------------
@@ -153,7 +154,8 @@ def _candidates(segment: int):
         kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:
             for file, data in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                rows = candidates(data.as_py(), segment)
+                raw = data.as_py()
+                rows = candidates(gzip.decompress(raw) if file.endswith(".gz") else raw, segment)
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), *cols], [c.split()[0] for c in CANDIDATES.split(", ")])
 
