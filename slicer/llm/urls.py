@@ -67,8 +67,8 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds:
 
 def _seeds(hosts: DataFrame, of: str, other: str) -> DataFrame:
     chosen = hosts.where((F.col(of) > 0) & (F.col(other) == 0)).select("host", F.col(of).alias("n"))
-    total = chosen.agg(F.sum("n").alias("total"))
-    return chosen.join(F.broadcast(total)).select("host", (F.col("n") / F.col("total")).alias("share"))  # total: one row
+    total = chosen.agg(F.sum("n")).first()[0] or 1
+    return chosen.select("host", (F.col("n") / total).alias("share"))
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, threshold: float = 0.0, rounds: int = 15) -> DataFrame:
