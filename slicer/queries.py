@@ -210,7 +210,7 @@ def polymorphic_parents(spark, sf_dir):
 def tenant_boundary(spark, sf_dir):
     """The nation as tenant of customers and suppliers: a supplier of another tenant is not pulled in."""
     frames = {n: table(spark, sf_dir, n) for n in ("customer", "supplier")}
-    frames["trade"] = frames["customer"].select(F.col("c_custkey").alias("t_custkey"), F.col("c_nationkey").alias("t_nationkey")).crossJoin(F.broadcast(spark.range(25).withColumnRenamed("id", "x"))).select("t_custkey", "t_nationkey", F.col("x").cast("int").alias("t_partner"))
+    frames["trade"] = frames["customer"].select(F.col("c_custkey").alias("t_custkey"), F.col("c_nationkey").alias("t_nationkey"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("t_partner"))
     spec = {
         "tables": {"customer": {"primary_key": ["c_custkey"]}, "supplier": {"primary_key": ["s_suppkey"]}, "trade": {}},
         "foreign_keys": [{"from": "trade", "from_columns": "t_custkey", "to": "customer", "to_columns": "c_custkey"}, {"from": "trade", "from_columns": "t_partner", "to": "supplier", "to_columns": "s_nationkey"}],
