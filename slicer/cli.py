@@ -27,6 +27,7 @@ from slicer.plans.model import from_constraints
 from slicer.sinks.databases import write_jdbc, write_sqlite
 from slicer.sinks.files import write_parquet, write_sql
 from slicer.sources.dsn import detect_engine, jdbc_options, sqlite_path
+from slicer.sources.probes import probe as source_probe
 from slicer.sources.tables import JdbcSource, ParquetSource, frames
 
 UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
@@ -91,7 +92,9 @@ def run(spark: SparkSession, args: argparse.Namespace, probe=None, out=None) ->
     model = from_constraints(spec, tables)
     for w in [*model.warnings, *model.topology_warnings(), *(key_warnings(model, config) if args.anonymize_pii else [])]:
         print(f"warning: {w}", file=sys.stderr)
-    poller = Poller(probe or (lambda: Sample("")), Thresholds.of(args.max_lag)) if args.safe_mode else None
+    if probe is None:
+        probe = source_probe(source) if isinstance(source, JdbcSource) else lambda: Sample("")  # files are always healthy
+    poller = Poller(probe, Thresholds.of(args.max_lag)) if args.safe_mode else None
     if poller:
         poller.start()
         if not poller.wait(args.max_lag * 10):
