@@ -194,7 +194,7 @@ def packed(documents: DataFrame, tokenizer_path: str, *, size: int = SIZE, grain
         base += times
     places_df = spark.createDataFrame(places, "class int, low bigint, high bigint, per int, base bigint, slot int")
     # ranks without one task per class: ranks within buckets, after the counts of the buckets before
-    buckets = max(1, -(-int(demand.sum()) // bucket_rows))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(demand.sum()) // bucket_rows))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("class", "bucket", (F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("before"))
