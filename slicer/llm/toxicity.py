@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicer.llm.session import bound_batches
+from slicer.llm.session import bound_batches, checkpointed
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -137,7 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, fit_rows_per_class: int = 60
     spark = documents.sparkSession
     bound_batches(spark)
     sample = _sample(documents, labels, fit_rows_per_class)
-    sample = spark.createDataFrame(sample.toArrow())  # bounded by fit_rows_per_class
+    sample = checkpointed(sample)
     counts = sample.mapInArrow(_features, "feature string, toxic int, n bigint").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
     total = counts.where("feature = ''").collect()
     if not total or not total[0].n1 or not total[0].n0:
