@@ -16,7 +16,8 @@ components as all links.
 five-word shingles differ in about 8 of 64 bits, which such a budget misses, so
 ``similar_documents`` takes several tables of short fingerprints (signs of random
 projections), lets the trie join propose pairs in each and accepts those whose shingle
-similarity, estimated from a 128-byte min-hash signature beside the fingerprint, is high enough.
+similarity, estimated from a 256-byte min-hash signature beside the fingerprint, is high enough
+(at most one standard error of the estimate below it).
 
 Defined results: null texts and texts without a word have fingerprint zero and
 are linked like any other; rows with a null doc_id get the component of equal
@@ -118,18 +119,19 @@ def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, b
             todo += [(*x, *y, bit, spent) for x in halves[0] for y in halves[1] if x[0] < y[1]]
             continue
         if (b - a) * (d - c) <= leaf * leaf:
-            near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= distance
             if similar is not None:
+                left, right = (np.array([forest.root(k) for k in range(*x)]) for x in ((a, b), (c, d)))
+                if (left == left[0]).all() and (right == left[0]).all():
+                    continue  # all connected: nothing to learn
+                near = (left[:, None] != right[None, :]) & (np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= distance)
                 i, j = np.nonzero(near)
                 i, j = (a + i)[a + i < c + j], (c + j)[a + i < c + j]
-                roots = {int(k): forest.root(int(k)) for k in np.unique(np.concatenate([i, j]))}
-                apart = np.array([roots[x] != roots[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-                i, j = i[apart], j[apart]
                 if len(i):
                     ok = similar(i, j)
                     for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                         forest.link(x, y)
                 continue
+            near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= distance
             for i, j in zip(*np.nonzero(near), strict=True):
                 if a + i < c + j:
                     forest.link(a + int(i), c + int(j))
@@ -214,7 +216,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, distance: int = 2
 # --- by similarity ------------------------------------------------------------------
 
 SKETCH = 1024
-BINS = 128
+BINS = 256
 SIGNED = "doc_id bigint, digest binary, tables array<bigint>, signature binary"
 
 
@@ -243,7 +245,7 @@ def signatures(buf: np.ndarray, off: np.ndarray, n_tables: int, bits: int, proje
     tables = (ones * (U64(1) << np.arange(bits, dtype=U64))).sum(2, dtype=U64)
     s, t = shingles(compared)
     least = np.full(n * BINS, np.iinfo(np.uint64).max, U64)
-    np.minimum.at(least, t * BINS + (s & U64(BINS - 1)).astype(np.int64), s >> U64(7))
+    np.minimum.at(least, t * BINS + (s & U64(BINS - 1)).astype(np.int64), s >> U64(8))
     code = np.where(least == np.iinfo(np.uint64).max, 0, 1 + least % U64(255)).astype(np.uint8)
     return tables, code.reshape(n, BINS), w
 
@@ -330,7 +332,7 @@ def similar_documents(documents: DataFrame, *, similarity: float = 0.8, compared
             below.append(f"when i = {i} then array({', '.join(f'xxhash64(key, {j}, {_block(chr(40) + rest + chr(41), a, b)})' for j, (a, b) in enumerate(_cuts(bits - (hi - lo), parts)))})")
         marked = spread.join(small, "key", "left")
         spread = marked.select("node", "fp", "signature", F.explode(F.when(F.col("crowded"), F.expr(f"case {' '.join(below)} end")).otherwise(F.array("key"))).alias("key"))
-    stars = spread.select("key", "fp", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_similar_subtries(distance, similarity, bits), "a bigint, b bigint")
+    stars = spread.select("key", "fp", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_similar_subtries(distance, similarity - (similarity * (1 - similarity) / BINS) ** 0.5, bits), "a bigint, b bigint")
     found = components(stars)
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
