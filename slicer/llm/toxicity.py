@@ -4,16 +4,18 @@ Fit (on a bounded sample of labelled rows, ``fit_rows_per_class`` of each class)
 log-odds of tokens, toxic against clean, by numbers of documents. The prior of a
 word is Dirichlet with the rates of the word's beginnings (4 to 6 characters), so
 inflected and unseen words inherit from their stem. Tokens whose log-odds are not
-significant pool into one background token with a small negative score; the scores
-are then log-likelihood ratios, so the Karlin-Altschul scale lambda is 1.
+significant pool into one background token, whose negative score makes the mean of
+exp(score) over the words of clean texts 1, so that scores fall on average there.
 
-Score: a linear scan finds all maximal scoring segments of a text. Those that stand
-out are passages. Extreme-value calibration: chance segments of score S occur
-K n exp(-S) times in n clean words, so each passage is worth S - log(n) and the sum over passages,
-mapped to a probability by a logistic fit, is the score.
+Score: a linear scan finds all maximal scoring segments of a text. Extreme-value
+calibration: chance segments of score S or more occur K n exp(-lambda S) times in n clean
+words, with K and lambda fitted to the segments of the clean texts in the sample. Segments
+of which fewer than ``LEVEL`` are expected at the text's own length are its passages. Each is
+worth lambda S - log(K n); the sum over passages, mapped to a probability by a logistic
+fit, is the score. For the calibration every text is scored without its own part in the counts.
 
 Defined results: null and empty texts have no passages and get the score of such
-texts; without labels of both classes every score is 0; a null doc_id is never
+texts, which is never a toxic one; without labels of both classes every score is 0; a null doc_id is never
 held out and never trained on; repeated rows are scored each; labels that contradict
 each other count as toxic; further columns are dropped.
 """
@@ -35,6 +37,7 @@ from slicer.llm.session import bound_batches, checkpointed
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
+LEVEL = 0.05
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, n_passages int, passage_start int, passage_end int, passage_score double"
 
 
@@ -43,6 +46,8 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     background: float = -0.01
+    scale: float = 1.0  # lambda
+    chance: float = 1.0  # K
     offset: float = -40.0
     slope: float = 0.0
 
@@ -92,17 +97,27 @@ def maximal_segments(positions: list[int], scores: list[float], background: floa
     return [(int(a), int(b), y - x) for a, b, x, y in out]
 
 
-def evidence(text: str | None, scores: Scores) -> tuple[float, list[tuple[int, int, float]]]:
-    """The extreme-value evidence of a text and its passages."""
+def hits(text: str | None, scores: Scores) -> tuple[int, list[int], list[float]]:
+    """The number of tokens of a text, and positions and scores of those that are not background."""
     tokens = TOKEN.findall((text or "").lower())
     background = scores.model.background
     values = [scores[t] for t in tokens]
     at = [i for i, v in enumerate(values) if v != background]
+    return len(tokens), at, [values[i] for i in at]
+
+
+def passages(n: int, at: list[int], values: list[float], model: Model) -> tuple[float, list[tuple[int, int, float]]]:
+    """The extreme-value evidence of a text of ``n`` tokens and its passages."""
     if not at:
-        return -math.log1p(len(tokens)), []
-    found = maximal_segments(at, [values[i] for i in at], background)
-    strong = [x for x in found if x[2] >= 2.0]
-    return sum(x[2] for x in strong) - math.log1p(len(tokens)), strong
+        return 0.0, []
+    length = math.log(model.chance * n)
+    strong = [x for x in maximal_segments(at, values, model.background) if model.scale * x[2] - length > -math.log(LEVEL)]
+    return sum(model.scale * x[2] - length for x in strong), strong
+
+
+def evidence(text: str | None, scores: Scores) -> tuple[float, list[tuple[int, int, float]]]:
+    """The extreme-value evidence of a text and its passages."""
+    return passages(*hits(text, scores), scores.model)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,19 +158,57 @@ def fit(documents: DataFrame, labels: DataFrame, *, fit_rows_per_class: int = 60
     if not total or not total[0].n1 or not total[0].n0:
         return Model()
     t1, t0 = total[0].n1, total[0].n0
-    odds = F.log((F.col("n1") + prior) / (t1 + 2 * prior)) - F.log((F.col("n0") + prior) / (t0 + 2 * prior))
-    z = odds / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    rows = counts.where("feature <> ''").withColumn("z", z).withColumn("odds", odds).where((F.col("z") >= min_z) & (F.col("odds") >= min_odds)).orderBy(F.col("z").desc(), "feature").limit(max_features).collect()
-    model = Model(stems={r.feature[1:]: _log_odds(r.n1, r.n0, t1, t0, prior, 0.0, 0.0) for r in rows if r.feature[0] == "^"})
-    for r in rows:
-        if r.feature[0] != "^":
-            stem = next((model.stems[r.feature[:k]] for k in STEMS if r.feature[:k] in model.stems), 0.0)
-            model.words[r.feature] = _log_odds(r.n1, r.n0, t1, t0, prior, stem, 4.0)
-    pairs = [(r["n_words"], r["x"], r["toxic"]) for r in sample.mapInArrow(_evidences(model), "n_words bigint, x double, toxic int").collect()]
-    model.offset, model.slope = _logistic(np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs], float))
+    # also what is significant once a clean text is left out; leaving a toxic one out adds nothing
+    z, odds = _significance(F.col("n1"), F.col("n0"), t1, t0, prior)
+    wide, wide_odds = _significance(F.col("n1"), F.greatest(F.col("n0") - 1, F.lit(0)), t1, t0 - 1, prior)
+    rows = counts.where("feature <> ''").withColumn("z", z).where(((z >= min_z) & (odds >= min_odds)) | ((wide >= min_z) & (wide_odds >= min_odds))).orderBy(F.col("z").desc(), "feature").limit(max_features).collect()
+    features = [(r.feature, r.n1, r.n0) for r in rows]
+    limits = (prior, min_z, min_odds)
+    model = _model(features, t1, t0, *limits)
+    others = (_model([(f, n1, max(n0 - 1, 0)) for f, n1, n0 in features], t1, t0 - 1, *limits), _model([(f, max(n1 - 1, 0), n0) for f, n1, n0 in features], t1 - 1, t0, *limits))
+    found = sample.mapInArrow(_hits(others), "n int, at array<int>, scores array<double>, toxic int").collect()
+    _calibrate(model, [(r.n, r["at"], r.scores) for r in found if not r.toxic])
+    x = [passages(r.n, r["at"], r.scores, model)[0] for r in found]
+    model.offset, model.slope = _logistic(np.array(x), np.array([r.toxic for r in found], float))
+    model.offset = min(model.offset, -0.01)  # a text without passages is not toxic, whatever the share of toxic labels
     return model
 
 
+def _significance(n1, n0, t1: int, t0: int, prior: float, log=F.log, sqrt=F.sqrt):
+    """z and log-odds of a feature in n1 of t1 toxic and n0 of t0 clean documents."""
+    odds = log((n1 + prior) / (t1 + 2 * prior)) - log((n0 + prior) / (t0 + 2 * prior))
+    return odds / sqrt(1 / (n1 + prior) + 1 / (n0 + prior)), odds
+
+
+def _model(features: list[tuple[str, int, int]], t1: int, t0: int, prior: float, min_z: float, min_odds: float) -> Model:
+    """Scores of the significant ones of ``features`` (feature, toxic documents, clean documents)."""
+    kept = []
+    for feature, n1, n0 in features:
+        z, odds = _significance(n1, n0, t1, t0, prior, math.log, math.sqrt)
+        if z >= min_z and odds >= min_odds:
+            kept.append((feature, n1, n0))
+    model = Model(stems={f[1:]: _log_odds(n1, n0, t1, t0, prior, 0.0, 0.0) for f, n1, n0 in kept if f[0] == "^"})
+    for f, n1, n0 in kept:
+        if f[0] != "^":
+            stem = next((model.stems[f[:k]] for k in STEMS if f[:k] in model.stems), 0.0)
+            model.words[f] = _log_odds(n1, n0, t1, t0, prior, stem, 4.0)
+    return model
+
+
+def _calibrate(model: Model, clean: list[tuple[int, list[int], list[float]]]) -> None:
+    """Set background, lambda and K from the tokens of clean texts (see ``hits``)."""
+    n, found = sum(c[0] for c in clean), sum(len(c[1]) for c in clean)
+    rest = 1 - sum(math.exp(v) - 1 for c in clean for v in c[2]) / max(1, n - found)  # exp(background)
+    model.background = min(-0.01, math.log(max(rest, math.exp(-1))))
+    s = np.array([x[2] for c in clean for x in maximal_segments(c[1], c[2], model.background)])
+    least = float(np.median(s)) if len(s) else 0.0
+    over = s[s > least] - least
+    # quantiles, because some labels are wrong; the widest of them, because clean texts differ
+    if len(over) >= 20:
+        model.scale = min(1.0, *(-math.log(1 - q) / float(np.quantile(over, q)) for q in (0.5, 0.75, 0.9)))
+    model.chance = (len(over) + 1) * math.exp(model.scale * least) / max(1, n)
+
+
 def _log_odds(n1: int, n0: int, t1: int, t0: int, prior: float, stem: float, strength: float) -> float:
     """Log-odds of a token in toxic documents, with a Dirichlet prior of ``strength`` at the stem's odds."""
     share = 1 / (1 + math.exp(-stem))
@@ -177,12 +230,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def _evidences(model: Model):
+def _hits(models: tuple[Model, Model]):
+    """The ``hits`` of each text by the model for its label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model)
+        scores = [Scores(m) for m in models]
         for batch in batches:
-            got = [evidence(t, scores)[0] for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(got), pa.int64()), pa.array(got, pa.float64()), batch["toxic"]], ["n_words", "x", "toxic"])
+            found = [hits(t, scores[y]) for t, y in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True)]
+            n, at, values = ([f[k] for f in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), batch["toxic"]], ["n", "at", "scores", "toxic"])
 
     return run
 

@@ -99,3 +99,33 @@ def test_maximal_segments_against_brute_force():
         assert sum(v for _, _, v in found) >= max((sum(s[i:j]) for i, j in best(0, len(s))), default=0)
         assert max((v for _, _, v in found), default=0) == max((sum(s[i:j]) for i, j in best(0, len(s))), default=0)
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_long_clean_texts_are_not_toxic(spark):
+    """Chance words add up with length: joined clean texts stay clean, and one toxic passage in them is found."""
+    r = random.Random(4)
+    odd = [f"odd{chr(97 + i)}x" for i in range(12)]  # somewhat likelier in toxic texts
+    plain = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        w = [r.choice(plain) for _ in range(r.randrange(100, 300))]
+        for _ in range((r.random() < (0.5 if toxic else 0.1)) * 1 + toxic * (r.random() < 0.3)):
+            w.insert(r.randrange(len(w)), r.choice(odd))
+        if toxic:
+            at = r.randrange(len(w))
+            w[at:at] = [r.choice(RUDE) for _ in range(4)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    clean = [t for (_, t), (_, y) in zip(rows, labels) if not y]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert {"gruk", "blarg", "snotz"} <= set(model.words) and set(odd) & set(model.words)
+    scores = toxicity.Scores(model)
+    predicted = lambda t: model.offset + model.slope * toxicity.evidence(t, scores)[0] >= 0
+    assert not any(predicted(t) for t in clean)
+    for n in (10_000, 30_000, 100_000):
+        words = []
+        while len(words) < n:
+            words += r.choice(clean).split()
+        assert not predicted(" ".join(words))
+        assert predicted(" ".join(words[: n // 2] + [*RUDE, *RUDE] + words[n // 2 :]))
