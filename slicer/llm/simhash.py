@@ -21,7 +21,9 @@ similarity, estimated from a 256-byte min-hash signature beside the fingerprint,
 
 Defined results: null texts and texts without a word have fingerprint zero and
 are linked like any other; rows with a null doc_id get the component of equal
-fingerprints, else null; repeated rows are returned each; further columns are dropped.
+fingerprints (in ``similar_documents`` also of similar texts), else null; repeated rows are
+returned each; further columns are dropped. ``keep_one`` takes texts, not ids: rows with one
+doc_id and different texts are different documents.
 """
 
 from __future__ import annotations
@@ -217,7 +219,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, distance: int = 2
 
 SKETCH = 1024
 BINS = 256
-SIGNED = "doc_id bigint, digest binary, tables array<bigint>, signature binary"
+SIGNED = "doc_id bigint, exact string, digest binary, tables array<bigint>, signature binary"
 
 
 @cache
@@ -259,7 +261,7 @@ def _signed(n_tables: int, bits: int, projected: int, compared: int):
                 digest = [hashlib.md5(b" ".join(data[a:b].split()), usedforsecurity=False).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * n_tables, n_tables, dtype=np.int32)), pa.array(tables.reshape(-1).view(np.int64)))
                 some = code.any(1)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, n), pa.array(digest, pa.binary()), lists, pa.array([c.tobytes() if x else None for c, x in zip(code, some.tolist(), strict=True)], pa.binary())], ["doc_id", "digest", "tables", "signature"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, n), batch["exact"].slice(first, n), pa.array(digest, pa.binary()), lists, pa.array([c.tobytes() if x else None for c, x in zip(code, some.tolist(), strict=True)], pa.binary())], ["doc_id", "exact", "digest", "tables", "signature"])
 
     return run
 
@@ -307,16 +309,17 @@ def _similar_subtries(distance: int, least: float, bits: int):
     return run
 
 
-def similar_documents(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5, projected: int = 3, n_tables: int = 8, bits: int = 32, distance: int = 2, most: int = 20_000) -> DataFrame:
-    """(doc_id, component_id): documents linked if they share ``similarity`` of their ``compared``-word shingles.
+def _exact(text: str = "text"):
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
-    ``bits`` grows with the logarithm of the number of documents, so that chance candidates stay rare.
-    Texts of fewer than ``compared`` words are linked to equal ones only.
-    """
+
+def _similar(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5, projected: int = 3, n_tables: int = 8, bits: int = 32, distance: int = 2, most: int = 20_000) -> DataFrame:
+    """(doc_id, exact, component) of every row: its id, a hash of its text and its group; nodes are distinct texts."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _exact().alias("exact"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = checkpointed(rows.mapInArrow(_signed(n_tables, bits, projected, compared), SIGNED))
-    classes = checkpointed(rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("tables").alias("tables"), F.first("signature").alias("signature")))
+    # the checkpoint fixes the numbers of the nodes
+    classes = checkpointed(rows.groupBy("digest").agg(F.first("tables").alias("tables"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()))
     parts = distance + 1
     blocks = _cuts(bits, parts)
     wide = classes.where("signature is not null").select("node", "signature", F.posexplode("tables").alias("t", "fp"))
@@ -334,11 +337,25 @@ def similar_documents(documents: DataFrame, *, similarity: float = 0.8, compared
         spread = marked.select("node", "fp", "signature", F.explode(F.when(F.col("crowded"), F.expr(f"case {' '.join(below)} end")).otherwise(F.array("key"))).alias("key"))
     stars = spread.select("key", "fp", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_similar_subtries(distance, similarity - (similarity * (1 - similarity) / BINS) ** 0.5, bits), "a bigint, b bigint")
     found = components(stars)
-    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
+    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "exact", "digest").join(named, "digest").select("doc_id", "exact", "component")
+
+
+def similar_documents(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, component_id): documents linked if they share ``similarity`` of their ``compared``-word shingles.
+
+    ``bits`` grows with the logarithm of the number of documents, so that chance candidates stay rare.
+    Texts of fewer than ``compared`` words are linked to equal ones only. component_id is the group's smallest doc_id.
+    """
+    rows = _similar(documents, **options)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", "component_id")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The document of each group of similar ones with the smallest doc_id, with all columns; rows without doc_id go."""
-    keep = similar_documents(documents, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    """The document of each group of similar ones with the smallest doc_id (null last, then by hash of the text), with all columns."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "exact"))
+    keep = _similar(documents, **options).groupBy("component").agg(first.alias("first")).select("first.doc_id", "first.exact")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _exact().alias("hash"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("exact")), "left_semi")
+    return kept.groupBy("id", "hash").agg(F.min("row").alias("row")).select("row.*")

@@ -129,3 +129,18 @@ def test_long_clean_texts_are_not_toxic(spark):
             words += r.choice(clean).split()
         assert not predicted(" ".join(words))
         assert predicted(" ".join(words[: n // 2] + [*RUDE, *RUDE] + words[n // 2 :]))
+
+
+def test_near_copies_with_null_and_clashing_ids(spark):
+    r = random.Random(6)
+    text = lambda: " ".join(r.choice("abcdefgh") + str(r.randrange(500)) for _ in range(120))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " one more"
+    rows = [(None, a), (1, b), (1, c), (1, b), (None, near(b)), (2, near(c)), (None, d), (None, near(d)), (3, e), (None, e), (4, "short"), (None, "lone"), (5, near(f)), (5, f)]
+    docs = spark.createDataFrame([(*x, f"s{i}") for i, x in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = [{(x.doc_id, x.text, x.source) for x in corpus_pipeline.drop_near_copies(spark, docs.repartition(n), "").collect()} for n in (1, 3)]
+    assert got[0] == got[1]
+    pairs = sorted(((i, t) for i, t, _ in got[0]), key=str)
+    one_d, one_f = [t for i, t in pairs if t in (d, near(d))], [t for i, t in pairs if t in (f, near(f))]
+    assert len(one_d) == len(one_f) == 1
+    assert pairs == sorted([(None, a), (1, b), (1, c), (None, one_d[0]), (3, e), (4, "short"), (None, "lone"), (5, one_f[0])], key=str)
