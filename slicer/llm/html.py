@@ -8,7 +8,8 @@ Viterbi. The labelled pages are made by ``labelled_pages``: article and boilerpl
 blocks in many templates, with random words so that no vocabulary is learnt.
 
 Defined results: null and empty html give an empty text; a page without a tag is one block of text; cut
-off markup is dropped and what stands before it counts; repeated rows are extracted each; further columns are dropped.
+off markup is dropped and what stands before it counts; an open head ends at the first text or element
+that may not stand in it, another silent element without an end tag at the next block element; repeated rows are extracted each; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,12 +32,33 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template textarea select iframe svg object title head math canvas video audio button".split())
+SILENT = set("script style noscript template textarea select iframe svg object title head canvas video audio button".split())
 RAW = set("script style textarea title noscript iframe template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math annotation menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements that an opening tag ends if they are the innermost block.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
+BLOCKS = ENDS_P | set("body dd dt li p td th tr".split())
+
+
+def _unclosed(html: str) -> set[int]:
+    """Where the silent elements start that no end tag closes."""
+    opened: dict[str, list[int]] = {}
+    raw = None
+    for m in TOKEN.finditer(html):
+        name = (m.group(2) or "").lower()
+        if raw is not None:
+            raw = None if m.group(1) and name == raw else raw
+        elif not m.group(1):
+            if name in RAW:
+                raw = name if not m.group().rstrip().endswith("/>") or name in ("script", "style") else None
+            elif name in SILENT and not m.group().endswith("/>"):
+                opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            opened[name].pop()
+    return {at for starts in opened.values() for at in starts}
 
 
 class Block:
@@ -50,6 +72,8 @@ def leaf_blocks(html: str) -> list[Block]:
     """The page's runs of text, white space made one space, character references decoded."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (tag, words of class, id and role)
+    unclosed: set[int] | None = None
+    loose: list[int] = []  # depths of the silent elements without an end tag
     parts: list[str] = []
     link = silent = 0
     raw = None
@@ -62,9 +86,16 @@ def leaf_blocks(html: str) -> list[Block]:
             out.append(Block(text, tuple(stack), min(link, len(text))))
         link = 0
 
+    def end(k: int) -> None:
+        nonlocal silent
+        silent -= sum(t in SILENT for t, _ in stack[k:])
+        del stack[k:]
+
     for m in TOKEN.finditer(html):
         token, name = m.group(), m.group(2)
         if name is None:
+            if stack and stack[-1][0] == "head" and raw is None and (token[0] != "<" or token == "<") and token.strip():
+                end(len(stack) - 1)
             if token[0] != "<" or token == "<":
                 if not silent and raw is None:
                     parts.append(token)
@@ -76,6 +107,13 @@ def leaf_blocks(html: str) -> list[Block]:
             if closing and name == raw:
                 raw = None
             continue
+        if silent and not closing:
+            while loose and (loose[-1] >= len(stack) or stack[loose[-1]][0] not in SILENT):
+                loose.pop()
+            if loose and name in BLOCKS:
+                end(loose.pop())
+            if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+                end(len(stack) - 1)
         if name not in INLINE:
             if name == "br":
                 parts.append(" ")
@@ -85,8 +123,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    silent -= sum(t in SILENT for t, _ in stack[k:])
-                    del stack[k:]
+                    end(k)
                     break
             continue
         if name in RAW:
@@ -103,8 +140,13 @@ def leaf_blocks(html: str) -> list[Block]:
                 break
         words = " ".join(NAME.findall(" ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m.group(3))).lower())) if m.group(3) else ""
         if not token.endswith("/>"):
+            if name in SILENT:
+                silent += 1
+                if name != "head":
+                    unclosed = _unclosed(html) if unclosed is None else unclosed
+                    if m.start() in unclosed:
+                        loose.append(len(stack))
             stack.append((name, words))
-            silent += name in SILENT
     flush()
     return out
 

@@ -38,3 +38,19 @@ def test_awkward_pages(spark):
     assert len(got) == 7
     assert got[(None, 9)].text == "cut & off" and got[(1, 0)].text == "" and (5, 3000 * 16 - 1) in got
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_unclosed_silent_elements():
+    body = "<article><h1>Title.</h1><p>First paragraph, it is long enough.</p>{}<p>Second paragraph, it is long enough too.</p></article>"
+    whole = "Title. First paragraph, it is long enough. Second paragraph, it is long enough too."
+    text = lambda page: " ".join(b.text for b in html.leaf_blocks(page))
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><link rel=y><script>z()</script>", "<head><title>T</title><div>", "<head><title>T</title></head><body>"):
+        assert text(start + body.format("")) == whole
+    assert html.main_text("<html><head><title>T</title><body>" + body.format(""), html.trained()) == whole
+    assert text("<head><title>T</title>plain words") == "plain words"
+    for tag in "button select svg video audio object canvas".split():
+        assert text(body.format(f"<{tag}>hidden")) == whole
+        assert text(body.format(f"<{tag}>hidden</{tag}>")) == whole
+        assert text(body.format(f"<{tag}>hidden<p>fallback</p><div>more</div></{tag}>")) == whole  # closed: silent to its end
+        assert text(body.format(f"<{tag}>a<p>kept</p><{tag}>b<p>c</p></{tag}>")) == whole.replace(" Second", " kept Second")
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == "so x=2 holds."
