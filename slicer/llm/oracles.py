@@ -31,7 +31,8 @@ b AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice,
 SELECT d.doc_id, b.license, round(coalesce(b.dice, 0.0)::DOUBLE, 6) AS dice, coalesce(b.licenses, '') AS licenses, coalesce(b.n_units, 0)::BIGINT AS n_units FROM documents d LEFT JOIN b USING (doc_id)"""
 
 
-def urls(rules: list[tuple[str, str]], rounds: int = 15, damping: float = 0.85) -> str:
+def urls(rules: list[tuple[str, str]], rounds: int = 120, damping: float = 0.85, threshold: float = 1e-3) -> str:
+    """What each round adds to the ranks, until 0.85 ** 120 of the seeds are left."""
     cases, verdicts = [], []
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, _, below = rule.partition("/")
@@ -40,13 +41,12 @@ def urls(rules: list[tuple[str, str]], rounds: int = 15, damping: float = 0.85)
         verdicts.append(f"WHEN '{rule}' THEN '{verdict}'")
 
     def spread(name: str, edges: str, seeds: str) -> str:
-        out = [f"{name}_s AS (SELECT host, n / sum(n) OVER () * {1 - damping} AS rank FROM {seeds})", f"{name}_f AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) * {damping} AS flow FROM {edges})", f"{name}_0 AS (SELECT * FROM {name}_s)"]
-        for k in range(1, rounds + 1):
-            out.append(f"{name}_{k} AS (SELECT host, sum(rank) AS rank FROM (SELECT dst AS host, rank * flow AS rank FROM {name}_f JOIN {name}_{k - 1} ON src = host UNION ALL SELECT host, rank FROM {name}_s) GROUP BY host)")
-        return ", ".join(out)
+        flow = f"{name}_f AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) * {damping} AS flow FROM {edges})"
+        steps = f"{name}_r AS (SELECT 0 AS k, host, n * {1 - damping} AS part FROM {seeds} UNION ALL SELECT k + 1, dst, sum(part * flow) FROM {name}_r JOIN {name}_f ON src = host WHERE k < {rounds} GROUP BY k, dst)"
+        return f"{flow}, {steps}, {name} AS (SELECT host, sum(part) AS rank FROM {name}_r GROUP BY host)"
 
     return rf"""
-WITH r AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 j AS (SELECT *, CASE {' '.join(cases)} END AS rule FROM p),
 v AS (SELECT *, CASE rule {' '.join(verdicts)} END AS own FROM j),
@@ -54,10 +54,10 @@ l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\
 e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM l WHERE src <> '' AND src <> dst GROUP BY ALL),
 back AS (SELECT dst AS src, src AS dst, weight FROM e),
 h AS (SELECT host, count(*) FILTER (WHERE own = 'allow') AS good, count(*) FILTER (WHERE own = 'block') AS bad FROM v WHERE host <> '' GROUP BY host),
-hg AS (SELECT host, good::DOUBLE AS n FROM h WHERE good > 0 AND bad = 0), hb AS (SELECT host, bad::DOUBLE AS n FROM h WHERE bad > 0 AND good = 0),
+hg AS (SELECT host, (good - bad)::DOUBLE AS n FROM h WHERE good > bad), hb AS (SELECT host, (bad - good)::DOUBLE AS n FROM h WHERE bad > good),
 {spread('t', 'e', 'hg')}, {spread('d', 'back', 'hb')}
-SELECT page_id, v.host, path, rule, coalesce(own, CASE WHEN coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN t_{rounds} t ON v.host = t.host LEFT JOIN d_{rounds} d ON v.host = d.host"""
+SELECT page_id, v.host, path, rule, coalesce(own, CASE WHEN coalesce(d.rank, 0) - coalesce(t.rank, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN t ON v.host = t.host LEFT JOIN d ON v.host = d.host"""
 
 
 def substrings(window: int = 20) -> str:

@@ -2,16 +2,21 @@
 
 All of it is DataFrame functions. Rules (verb, host and path prefix) decide the pages that they fit;
 the longest wins. Other pages get their host's verdict: personalised PageRank spreads trust
-along links from hosts whose judged pages are all allowed, and distrust against the links
-(a host that links to bad hosts is suspect) from hosts whose judged pages are all blocked.
-A host is blocked if its distrust is over ``threshold`` and over its trust.
-
+along links, and distrust against the links (a host that links to bad hosts is suspect). The
+seeds are all hosts with judged pages, each by its own majority: trust by how many more pages are
+allowed than blocked, distrust by how many more are blocked. Seeds count pages and are not
+scaled to a sum of one, so that trust and distrust can be compared and the threshold means the same at any size.
+A host is blocked if its distrust is more than ``threshold`` pages over its trust.
+
+Rounds go on until no host's rank changes by more than ``tolerance`` of itself and the threshold together;
+there is no bound on their number, which grows with the logarithm of the seeds' sum, since a step keeps 0.85 of it.
 The graph has one weighted edge for each pair of hosts, combined before the shuffle; ranks
 have one row a host, so a hub's edges can be split by adaptive execution. Without links
 the ranks are the seeds and no round runs.
 
 Defined results: null urls and urls without ``://`` have empty host and path, fit no rule and are
-allowed; null html has no links; repeated rows are judged each; further columns are dropped.
+allowed; null html has no links; html of any length is searched whole; an even host seeds nothing; repeated rows are
+judged each, and count each; an empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicer.llm.session import checkpointed
+from slicer.llm.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
@@ -49,40 +54,40 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 15) -> DataFrame:
-    """Personalised PageRank (host, rank) over edges (src, dst, weight) from seeds (host, share)."""
-    start = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    flow = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("flow")))
-    ranks = checkpointed(start)
-    if flow.isEmpty():
-        return ranks
-    for k in range(rounds):
-        passed = flow.join(ranks, flow.src == ranks.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("flow")).alias("rank"))
-        ranks = passed.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 5 == 4:
-            ranks = checkpointed(ranks)
-    return ranks
+def _flows(edges: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
+    out = edges.groupBy(F.col(src).alias("of")).agg(F.sum("weight").alias("total"))
+    return edges.join(out, edges[src] == out.of).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("total")).alias("share"))
+
 
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-3, floor: float = 1e-3) -> DataFrame:
+    """Personalised PageRank (host, trust, distrust) over edges (src, dst, weight) from seeds (host, trust, distrust).
 
-def _seeds(hosts: DataFrame, of: str, other: str) -> DataFrame:
-    chosen = hosts.where((F.col(of) > 0) & (F.col(other) == 0)).select("host", F.col(of).alias("n"))
-    total = chosen.agg(F.sum("n")).first()[0] or 1
-    return chosen.select("host", (F.col("n") / total).alias("share"))
+    Trust goes along the edges, distrust against them, in the same rounds. Ranks are settled when none changes by more
+    than ``tolerance`` * (rank + ``floor``).
+    """
+    start = written(seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("kind", "seed")).where("seed > 0").select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
+    flow = written(_flows(edges, "trust", "src", "dst").unionByName(_flows(edges, "distrust", "dst", "src")))
+    ranks, settled = start, flow.isEmpty() or start.isEmpty()
+    while not settled:
+        passed = flow.join(ranks, (flow.kind == ranks.kind) & (flow.src == ranks.host)).groupBy(flow.kind, F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("rank"))
+        both = [x.select("kind", "host", *[(F.col("rank") if c == name else F.lit(0.0)).alias(c) for c in ("rank", "before")]) for x, name in ((passed, "rank"), (start, "rank"), (ranks, "before"))]
+        after = written(both[0].unionByName(both[1]).unionByName(both[2]).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")))
+        settled = after.where(F.abs(F.col("rank") - F.col("before")) > tolerance * (F.col("rank") + floor)).isEmpty()
+        ranks = after.select("kind", "host", "rank")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, threshold: float = 0.0, rounds: int = 15) -> DataFrame:
+def verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, threshold: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
     """Every page with host, path, the rule that decided it (or null), verdict, and its host's trust and distrust."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumns({"host": host, "path": path})
     parsed = parsed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    edges = checkpointed(host_edges(parsed))
-    allowed, blocked = (F.count(F.when(F.col("found.verdict") == v, 1)) for v in ("allow", "block"))
-    hosts = checkpointed(parsed.where("host <> ''").groupBy("host").agg(allowed.alias("allowed"), blocked.alias("blocked")))
-    trust = spread(edges, _seeds(hosts, "allowed", "blocked"), rounds=rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = spread(back, _seeds(hosts, "blocked", "allowed"), rounds=rounds)
-    scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    bad = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
+    edges = written(host_edges(parsed))
+    more = F.count(F.when(F.col("found.verdict") == "allow", 1)) - F.count(F.when(F.col("found.verdict") == "block", 1))
+    hosts = parsed.where("host <> ''").groupBy("host").agg(more.cast("double").alias("more"))
+    seeds = hosts.select("host", F.greatest("more", F.lit(0.0)).alias("trust"), F.greatest(-F.col("more"), F.lit(0.0)).alias("distrust"))
+    scores = spread(edges, seeds, tolerance=tolerance, floor=threshold)
+    bad = F.col("distrust") - F.col("trust") > threshold
     judged = parsed.select("page_id", "host", "path", "found").join(scores, "host", "left")
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
