@@ -1,15 +1,20 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is cut into leaf blocks: runs of text without a block-level boundary in between.
-Each block has features of its ancestors (tag names, words of class, id and role) and its
-text (length, share of link text, ending). The field labels blocks as article or not; it
+Each block has features of its ancestors (tag names, class, id and role names as wholes, and the first and
+last part of compound ones), its text (length, share of link text, ending, cue words) and its place (under a heading
+with a cue, before or after the first h1). The field labels blocks as article or not; it
 is trained with exact gradients (forward-backward) on labelled pages, and decodes by
 Viterbi. The labelled pages are made by ``labelled_pages``: article and boilerplate
-blocks in many templates, with random words so that no vocabulary is learnt.
+blocks in many templates, with and without class names, and random words so that no vocabulary but the cues is learnt.
+
+Scripts, styles and other raw text end at their end tag, whatever stands in them.
 
 Defined results: null and empty html give an empty text; a page without a tag is one block of text; cut
 off markup is dropped and what stands before it counts; an open head ends at the first text or element
-that may not stand in it, another silent element without an end tag at the next block element; repeated rows are extracted each; further columns are dropped.
+that may not stand in it, another silent element without an end tag at the next block element; a raw element without an end
+tag takes the rest if it is a script or style and nothing otherwise; html of any length is read whole; repeated rows are extracted
+each; an empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -27,13 +32,14 @@ from pyspark.sql import functions as F
 
 from slicer.llm.session import bound_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+#: Quotes matter only after an equals sign, as in browsers; a value that no quote ends is not a value.
+TOKEN = re.compile(r"<!--+>|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template textarea select iframe svg object title head canvas video audio button".split())
-RAW = set("script style textarea title noscript iframe template".split())
+SILENT = set("script style noscript template textarea select iframe svg title head button".split())
+RAW = set("script style textarea title noscript iframe".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 INLINE |= set("math annotation menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements that an opening tag ends if they are the innermost block.
@@ -43,24 +49,51 @@ IN_HEAD = set("base basefont bgsound head link meta noframes noscript script sty
 BLOCKS = ENDS_P | set("body dd dt li p td th tr".split())
 
 
+@cache
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I)
+
+
+def tokens(html: str) -> Iterator[tuple[re.Match, bool]]:
+    """The markup and text of a page, without what stands in raw elements; whether a tag opens a raw element that ends."""
+    at = 0
+    while at < len(html):
+        m = TOKEN.match(html, at)
+        at, name = m.end(), (m.group(2) or "").lower()
+        raw = name in RAW and not m.group(1) and (name in ("script", "style") or not m.group().endswith("/>"))
+        if raw:
+            end = _end_tag(name).search(html, at)
+            raw = end is not None or name in ("script", "style")
+            at = end.end() if end else len(html) if raw else at
+            if end:  # the rest of the end tag
+                close = html.find(">", at)
+                at = close + 1 if close >= 0 else len(html)
+        yield m, raw
+
+
 def _unclosed(html: str) -> set[int]:
     """Where the silent elements start that no end tag closes."""
     opened: dict[str, list[int]] = {}
-    raw = None
-    for m in TOKEN.finditer(html):
+    for m, _ in tokens(html):
         name = (m.group(2) or "").lower()
-        if raw is not None:
-            raw = None if m.group(1) and name == raw else raw
-        elif not m.group(1):
-            if name in RAW:
-                raw = name if not m.group().rstrip().endswith("/>") or name in ("script", "style") else None
-            elif name in SILENT and not m.group().endswith("/>"):
+        if not m.group(1):
+            if name in SILENT and name not in RAW and not m.group().endswith("/>"):
                 opened.setdefault(name, []).append(m.start())
         elif opened.get(name):
             opened[name].pop()
     return {at for starts in opened.values() for at in starts}
 
 
+def names_of(attributes: str) -> str:
+    """Class, id and role names: whole words as they are, of compound ones the first and the last part with a hyphen."""
+    out = []
+    for _, a, b, c in ATTRIBUTE.findall(attributes):
+        for name in (a or b or c).split():
+            parts = [x.lower() for x in NAME.findall(name)]
+            out += parts if len(parts) == 1 else [f"{parts[0]}-", f"-{parts[-1]}"] if parts else []
+    return " ".join(out)
+
+
 class Block:
     __slots__ = ("text", "path", "link")
 
@@ -76,7 +109,6 @@ def leaf_blocks(html: str) -> list[Block]:
     loose: list[int] = []  # depths of the silent elements without an end tag
     parts: list[str] = []
     link = silent = 0
-    raw = None
 
     def flush() -> None:
         nonlocal link
@@ -91,22 +123,18 @@ def leaf_blocks(html: str) -> list[Block]:
         silent -= sum(t in SILENT for t, _ in stack[k:])
         del stack[k:]
 
-    for m in TOKEN.finditer(html):
+    for m, raw in tokens(html):
         token, name = m.group(), m.group(2)
         if name is None:
-            if stack and stack[-1][0] == "head" and raw is None and (token[0] != "<" or token == "<") and token.strip():
+            if stack and stack[-1][0] == "head" and (token[0] != "<" or token == "<") and token.strip():
                 end(len(stack) - 1)
             if token[0] != "<" or token == "<":
-                if not silent and raw is None:
+                if not silent:
                     parts.append(token)
                     if any(t == "a" for t, _ in stack[-4:]):
                         link += len(token.strip())
             continue
         name, closing = name.lower(), bool(m.group(1))
-        if raw is not None:
-            if closing and name == raw:
-                raw = None
-            continue
         if silent and not closing:
             while loose and (loose[-1] >= len(stack) or stack[loose[-1]][0] not in SILENT):
                 loose.pop()
@@ -126,10 +154,7 @@ def leaf_blocks(html: str) -> list[Block]:
                     end(k)
                     break
             continue
-        if name in RAW:
-            raw = name if not m.group().rstrip().endswith("/>") or name in ("script", "style") else None
-            continue
-        if name in VOID:
+        if raw or name in RAW or name in VOID:
             continue
         closes = CLOSES.get(name, {"p"} if name in ENDS_P else ())
         for k in range(len(stack) - 1, -1, -1):
@@ -138,7 +163,7 @@ def leaf_blocks(html: str) -> list[Block]:
                 break
             if stack[k][0] not in INLINE:
                 break
-        words = " ".join(NAME.findall(" ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m.group(3))).lower())) if m.group(3) else ""
+        words = names_of(m.group(3)) if m.group(3) else ""
         if not token.endswith("/>"):
             if name in SILENT:
                 silent += 1
@@ -151,22 +176,51 @@ def leaf_blocks(html: str) -> list[Block]:
     return out
 
 
-@cache
+#: Names that page templates give to what is not the article, to what is, and to mere containers.
+OTHER_NAMES = "ad ads advert advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended trending share sharing social footer header masthead topbar cookie cookies consent notice alert popup modal newsletter subscribe signup login search form comment comments reply replies respond discussion disqus tags meta byline pagination copyright legal toolbar skip".split()
+ARTICLE_NAMES = "article content post entry story body text main page-content post-body article-body entry-content".split()
+NEUTRAL_NAMES = "container row col wrapper wrap page inner outer grid site app root layout section block box column".split()
+OTHER, ARTICLE = frozenset(OTHER_NAMES), frozenset(ARTICLE_NAMES)
+
+
+@lru_cache(1 << 14)
 def path_features(path: tuple) -> tuple[str, ...]:
     found = {"bias"}
     for tag, words in path:
         found.add(f"<{tag}")
         for w in words.split():
             found.add(f".{w}")
+            kind = "other" if w.strip("-") in OTHER else "article" if w.strip("-") in ARTICLE else None
+            if kind:
+                found.add(f"{kind} named, {'first part' if w[-1] == '-' else 'last part' if w[0] == '-' else 'whole'}")
     blocks = [t for t, _ in path if t not in INLINE]
     if blocks:
         found.add(f"in {blocks[-1]}")
     return tuple(sorted(found))
 
 
-def features(block: Block) -> tuple[str, ...]:
-    n, share = len(block.text), block.link / max(1, len(block.text))
-    return (*path_features(block.path), f"size {min(5, n.bit_length() // 2)}", f"links {int(share * 2.99)}", "ends" if block.text[-1] in ".!?…:\"”»" else "open")
+#: Words that short texts and headings around an article use, in a few languages.
+CUES = frozenset("© copyright rights reserved comment comments kommentar kommentare commentaire commentaires comentario comentarios reply replies antworten répondre responder share teilen partager compartir subscribe newsletter abonnieren abonner suscribirse cookie cookies advertisement sponsored anzeige publicité publicidad related recommended trending verwandte login register anmelden menu menü menú navigation privacy datenschutz impressum terms imprint".split())
+WORD = re.compile(r"©|[^\W\d_]+")
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def features(blocks: list[Block]) -> list[tuple[str, ...]]:
+    """The features of every block of a page."""
+    out, cued = [], {}  # container of a heading: whether the last one there had a cue
+    seen = "no h1" if not any(t == "h1" for b in blocks for t, _ in b.path) else "before h1"
+    for b in blocks:
+        n, share = len(b.text), b.link / max(1, len(b.text))
+        cue = n < 300 and not CUES.isdisjoint(w.lower() for w in WORD.findall(b.text))
+        own = [*path_features(b.path), f"size {min(5, n.bit_length() // 2)}", f"links {int(share * 2.99)}", "ends" if b.text[-1] in ".!?…:\"”»" else "open"]
+        depth = next((k for k, (t, _) in enumerate(b.path) if t in HEADING), None)
+        if depth is not None:
+            if any(t == "h1" for t, _ in b.path):
+                seen = "after h1"
+            cued[b.path[:depth]] = cue and n < 80
+        own += [seen, *(["cue"] if cue else []), *(["under cue"] if depth is None and any(cued.get(b.path[:k]) for k in range(len(b.path) + 1)) else [])]
+        out.append(tuple(own))
+    return out
 
 
 # --- the field --------------------------------------------------------------------
@@ -184,8 +238,8 @@ class Field:
             return []
         get, (t00, t01), (t10, t11) = self.weights.get, *self.pairs
         back, zero, one = [], 0.0, 0.0
-        for k, b in enumerate(blocks):
-            s = sum(get(f, 0.0) for f in features(b))
+        for k, own in enumerate(features(blocks)):
+            s = sum(get(f, 0.0) for f in own)
             if k:
                 from0, from1 = zero + t01 > one + t11, zero + t00 >= one + t10
                 back.append((0 if from1 else 1, 0 if from0 else 1))
@@ -201,10 +255,11 @@ class Field:
 def fit(pages: list[tuple[str, list[int]]], *, rounds: int = 150, rate: float = 0.3, ridge: float = 0.002) -> Field:
     """Maximum likelihood by gradient steps over all pages; all chains advance together."""
     chains = [(leaf_blocks(h), y) for h, y in pages]
-    names = sorted({f for blocks, _ in chains for b in blocks for f in features(b)})
+    found = [features(blocks) for blocks, _ in chains]
+    names = sorted({f for page in found for own in page for f in own})
     index, longest = {f: i for i, f in enumerate(names)}, max(len(b) for b, _ in chains)
     n = len(chains)
-    where = [(c, t, index[f]) for c, (blocks, _) in enumerate(chains) for t, b in enumerate(blocks) for f in features(b)]
+    where = [(c, t, index[f]) for c, page in enumerate(found) for t, own in enumerate(page) for f in own]
     c, t, f = (np.array(x) for x in zip(*where, strict=True))
     y, real = np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for k, (_, labels) in enumerate(chains):
@@ -237,35 +292,41 @@ def fit(pages: list[tuple[str, list[int]]], *, rounds: int = 150, rate: float =
     return Field({k: float(x) for k, x in zip(names, w, strict=True) if abs(x) > 1e-3}, pairs.tolist())
 
 
-#: Names that page templates give to what is not the article, and to what is.
-OTHER_NAMES = "ad ads advert advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended trending share sharing social footer header masthead topbar cookie cookies consent notice alert popup modal newsletter subscribe signup login search form comment comments reply replies respond discussion disqus tags meta byline pagination copyright legal toolbar skip".split()
-ARTICLE_NAMES = "article content post entry story body text main page-content post-body article-body entry-content".split()
-
-
-def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
-    """Pages in random templates, with the label (1: article) of every leaf block in order."""
+def labelled_pages(count: int = 420, seed: int = 7, plain: float = 0.4) -> list[tuple[str, list[int]]]:
+    """Pages in random templates, with the label (1: article) of every leaf block in order; a share ``plain`` names no part by its class."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9)))
     sentence = lambda: (" ".join(word() for _ in range(r.randrange(1, 22))).capitalize() + r.choice(["."] * 8 + ["!", "?", "", ","]))
+    several = lambda n: " ".join(sentence() for _ in range(r.randrange(1, n)))
+    neutral = lambda: r.choice(["", "", f' class="{r.choice(NEUTRAL_NAMES)}"', f' id="{word()}"', f' class="{r.choice(NEUTRAL_NAMES)}-{word()}"'])
+    cued = lambda: " ".join(r.sample([word(), word(), r.choice(sorted(CUES)).capitalize(), str(r.randrange(9))], r.randrange(2, 4)) + [r.choice(sorted(CUES))])
     out = []
     for _ in range(count):
-        html, labels = [], []
+        html, labels, bare = [], [], r.random() < plain
 
         def put(tag: str, text: str, label: int, attr: str = "") -> None:
             html.append(f"<{tag}{attr}>{text}</{tag}>")  # noqa: B023
             labels.append(label)  # noqa: B023
 
+        def link_list(attr: str) -> None:
+            html.append(f"<ul{attr}>")  # noqa: B023
+            for _ in range(r.randrange(2, 8)):
+                put("li", f'<a href="/{word()}">{" ".join(word() for _ in range(r.randrange(1, 4)))}</a>', 0)
+            html.append("</ul>")  # noqa: B023
+
         def other(deep: bool = True) -> None:
-            kind = r.randrange(8)
             name = r.choice(OTHER_NAMES)
-            attr = r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {word()}"', f' class="{word()}-{name}"'])
+            attr = r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {word()}"', f' class="{word()}-{name}"', f' class="{word()}-{name}"', f' class="{name}-{word()}"'])
+            kind = r.randrange(8)
+            if bare:  # noqa: B023
+                attr = neutral()
+                kind = r.choice([0, 3, 4, 8, 9, 10])
             if kind == 0:
-                html.append(f"<nav{r.choice(['', attr])}><ul>")  # noqa: B023
-                for _ in range(r.randrange(2, 8)):
-                    put("li", f'<a href="/{word()}">{word()}</a>', 0)
-                html.append("</ul></nav>")  # noqa: B023
+                html.append(f"<nav{r.choice(['', attr])}>")  # noqa: B023
+                link_list("")
+                html.append("</nav>")  # noqa: B023
             elif kind in (1, 2):
-                put("div", " ".join(sentence() for _ in range(r.randrange(1, 4))), 0, attr)
+                put("div", several(4), 0, attr)
             elif kind == 3:
                 tag = r.choice(["aside", "footer", "header"])
                 html.append(f"<{tag}{r.choice(['', attr])}>")  # noqa: B023
@@ -279,27 +340,47 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[int]
             elif kind == 5 and deep:
                 html.append(f"<section{attr}>")  # noqa: B023
                 for _ in range(r.randrange(1, 4)):
-                    put(r.choice(["p", "div", "h3", "li", "span"]), " ".join(sentence() for _ in range(r.randrange(1, 5))), 0) if (tag := 1) else None
+                    put(r.choice(["p", "div", "h3", "li", "span"]), several(5), 0)
                     html.append("<hr>")  # noqa: B023
                 html.append("</section>")  # noqa: B023
+            elif kind == 8:
+                html.append(f"<div{attr}>")  # noqa: B023
+                link_list(neutral())
+                html.append("</div>")  # noqa: B023
+            elif kind == 9:
+                put(r.choice(["div", "p"]), cued() + r.choice(["", ".", f" {sentence()}"]), 0, attr)
+            elif kind == 10 and deep:  # a heading with a cue and what stands under it
+                html.append(f"<div{attr}>")  # noqa: B023
+                put(r.choice(["h2", "h3", "h4"]), cued(), 0)
+                for _ in range(r.randrange(1, 5)):
+                    put(r.choice(["p", "div", "li"]), several(4), 0)
+                html.append("</div>")  # noqa: B023
             else:
+                if bare:  # noqa: B023
+                    return
                 html.append(f"<div{attr}>")  # noqa: B023
                 for _ in range(r.randrange(1, 4)):
-                    put("p", " ".join(sentence() for _ in range(r.randrange(1, 5))), 0)
+                    put("p", several(5), 0)
                 html.append("</div>")  # noqa: B023
 
+        outer = [f"div{neutral()}" for _ in range(r.choice([0, 0, 1, 2]))]
+        html += [f"<{x}>" for x in outer]
         for _ in range(r.randrange(0, 4)):
             other()
         name = r.choice(ARTICLE_NAMES)
-        tag = r.choice(["article"] * 4 + ["main", "div", "section", "div"])
-        attr = r.choice(["", "", f' class="{name}"', f' id="{name}"']) if tag in ("article", "main") else r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {word()}"'])
-        html.append(f"<{tag}{attr}>")
+        tag = "div" if bare else r.choice(["article"] * 4 + ["main", "div", "section", "div"])
+        odd = [f' class="{r.choice(OTHER_NAMES)}-{word()}"']  # a compound says what it is about, not what it is
+        attr = neutral() if bare else r.choice(["", "", f' class="{name}"', f' id="{name}"', *odd]) if tag in ("article", "main") else r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {word()}"'])
+        wraps = [f"div{neutral()}" for _ in range(r.choice([0, 0, 1, 2]))] if bare or r.random() < 0.3 else []
+        if not (bare and r.random() < 0.2):  # straight in the body
+            wraps.append(f"{tag}{attr}")
+        html += [f"<{x}>" for x in wraps]
         if r.random() < 0.8:
             put(r.choice(["h1", "h1", "h2"]), sentence(), 1)
         for _ in range(r.randrange(1, 14)):
             x = r.random()
             if x < 0.72:
-                put("p", r.choice(["", "", "", f'<a href="#">{word()}</a> ', f"<b>{word()}</b> "]) + " ".join(sentence() for _ in range(r.randrange(1, 6))), 1)
+                put("p", r.choice(["", "", "", f'<a href="#">{word()}</a> ', f"<b>{word()}</b> "]) + several(6), 1)
             elif x < 0.78:
                 put(r.choice(["h2", "h3", "h4"]), sentence(), 1)
             elif x < 0.84:
@@ -310,18 +391,19 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[int]
             elif x < 0.88:
                 put(r.choice(["blockquote", "pre", "td", "figcaption", "div", "dd"]), sentence(), 1)
             elif x < 0.94:
-                other(False)
+                if not bare:
+                    other(False)
             else:
-                put("p", sentence(), 1)
-        if r.random() < 0.3:
+                put("p", sentence() + r.choice(["", "", f" {r.choice(sorted(CUES))} {sentence()}"]), 1)
+        if r.random() < 0.3 and not bare:
             other()
-        html.append(f"</{tag}>")
+        html += [f"</{x.split()[0]}>" for x in reversed(wraps)]
         for _ in range(r.randrange(0, 4)):
             other()
         if r.random() < 0.7:
             put("footer", f"&copy; {word()} &middot; {sentence()}", 0)
-        page = "".join(html)
-        out.append((page, labels))
+        html += ["</div>" for _ in outer]
+        out.append(("".join(html), labels))
     return [(h, y) for h, y in out if len(leaf_blocks(h)) == len(y)]
 
 
