@@ -1,46 +1,83 @@
 """Licence notices in documents, by the Dice coefficient over word bigrams.
 
-Units are a document's lines and its paragraphs of several lines, normalised to lower-case
-letters and digits. A unit of a distinct bigrams and a template of b can reach a Dice coefficient of
-t only if t / (2 - t) <= a / b <= (2 - t) / t, so templates out of these bounds are never
-compared. Everything is DataFrame functions within one row: nothing is exploded or shuffled.
-
-Defined results: null and empty texts have no units; a document without a match has a null license,
-dice 0.0 and no units; ties go to the license that is first in the alphabet; repeated rows are
-judged each; further columns are dropped.
+Texts are normalised to words of lower-case letters and digits. A template of n words is compared with windows of n
+words of a document, wherever they stand in lines and paragraphs (cut at the document's ends). A window of a distinct bigrams
+and a template of b reach a Dice coefficient of t only if t / (2 - t) <= a / b <= (2 - t) / t, so windows out of these
+size bounds are never compared, and they share more than b - t / (2 - t) * b of any such number of the template's
+bigrams: of its longest ones, its marks, one at least. So only the windows are compared that
+have one of the marks at the same place as the template, and documents without any mark are done
+after one regular expression. Everything is DataFrame functions within one row: nothing is exploded or shuffled.
+
+Of overlapping matches only those count that no better one (more shared bigrams, then higher Dice, then first in the alphabet)
+overlaps, first among the windows of one template, then among those left of all, so that a notice that resembles two licences, or contains another, is listed under its own.
+
+Defined results: null and empty texts have no words; a document without a match has a null license,
+dice 0.0 and no matches; ties go to the license that is first in the alphabet; texts of any length are read whole; repeated
+rows are judged each; an empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Usual short notices, by SPDX identifier.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_BSD_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU_OLD = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+
+
+def _gnu(kind: str) -> str:
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the {kind} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {kind} for more details."
+
+
+#: Texts, standard headers and usual short notices, by SPDX identifier.
 TEMPLATES = [
+    ("AGPL-3.0", _gnu("GNU Affero General Public License")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", f"{_BSD_CLAUSES} {_BSD_DISCLAIMER}"),
+    ("BSD-2-Clause", _BSD_CLAUSES),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} {_BSD_THIRD} {_BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_BSD_CLAUSES} {_BSD_THIRD}"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU_OLD),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("GPL-3.0", _gnu("GNU General Public License")),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _gnu("GNU Lesser General Public License")),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 ]
 
 
 def normalised(text: str) -> list[str]:
-    import re
-
-    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
 
 
 def bigrams(words: list[str]) -> list[str]:
@@ -49,34 +86,72 @@ def bigrams(words: list[str]) -> list[str]:
     return list(dict.fromkeys(pairs))
 
 
-def _pairs(unit: Column) -> Column:
-    words = F.split(unit, " ")
-    return F.array_distinct(F.when(F.size(words) < 2, words).otherwise(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+def marks(words: list[str], least: float) -> list[tuple[str, int]]:
+    """(bigram, place) of the longest bigrams of a template, enough that a match has one of them."""
+    grams = bigrams(words)
+    chosen = set(sorted(grams, key=lambda g: (-len(g), g))[: int(len(grams) - least / (2 - least) * len(grams) + 1e-9) + 1])
+    return [(g, i) for i in range(max(1, len(words) - 1)) if (g := " ".join(words[i : i + 2])) in chosen]
+
+
+def pattern(grams: list[str]) -> str:
+    """A regular expression of any of some bigrams, by their first words, in text of words between single spaces."""
+    by_first: dict[str, list[str]] = {}
+    for g in sorted(set(grams)):
+        first, _, second = g.partition(" ")
+        by_first.setdefault(first, []).append(second)
+    letters: dict[str, list[str]] = {}
+    for first, seconds in by_first.items():
+        letters.setdefault(first[0], []).append(f"{first[1:]} (?:{'|'.join(seconds)}) " if all(seconds) else f"{first[1:]} ")
+    return f" (?:{'|'.join(f'{c}(?:{chr(124).join(rest)})' for c, rest in letters.items())})"
+
+
+def _pairs(words: Column) -> Column:
+    n = F.size(words)
+    return F.array_distinct(F.when(n < 2, words).otherwise(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
+
+
+def _matches(words: Column, bigram_at: Column, name: str, text: str, least: float) -> Column:
+    """Array of struct(shared, minus, name, start, end), the first two negative: the windows that match a template."""
+    template = normalised(text)
+    grams, n = bigrams(template), len(template)
+    b, slack = len(grams), 1e-9
+    places: dict[str, list[int]] = {}
+    for g, i in marks(template, least):
+        places.setdefault(g, []).append(i)
+    # as SQL text, since a call for each literal takes seconds; words are letters and digits
+    of = F.expr(f"map({', '.join(f'{chr(39)}{g}{chr(39)}, array({str(at)[1:-1]})' for g, at in places.items())})")
+    all_grams = F.expr(f"array({str(grams)[1:-1]})")
+    hits = F.filter(F.transform(bigram_at, lambda g, i: F.struct(i.alias("i"), F.try_element_at(of, g).alias("at"))), lambda h: h["at"].isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(h["at"], lambda at: h["i"] - at))))
+
+    bounds = F.transform(starts, lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), F.least(s + n, F.size(words)).alias("end")))
+    sliced = F.transform(bounds, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.slice(words, w["start"] + 1, w["end"] - w["start"]).alias("w")))
+    windows = F.transform(sliced, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), _pairs(w["w"]).alias("g")))
+    cut = F.filter(windows, lambda w: (F.size(w["g"]) >= b * least / (2 - least) - slack) & (F.size(w["g"]) <= b * (2 - least) / least + slack))
+    shared = F.transform(cut, lambda w: F.struct((-F.size(F.array_intersect(w["g"], all_grams))).alias("shared"), (F.size(w["g"]) + b).alias("both"), w["start"].alias("start"), w["end"].alias("end")))
+    scored = F.transform(shared, lambda m: F.struct(m["shared"].alias("shared"), (2.0 * m["shared"] / m["both"]).alias("minus"), F.lit(name).alias("name"), m["start"].alias("start"), m["end"].alias("end")))
+    return F.filter(scored, lambda m: m["minus"] <= -least)
+
+
+def _best(found: Column) -> Column:
+    """Matches that no better one overlaps."""
+    return F.filter(found, lambda m: ~F.exists(found, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & (o < m)))
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, least: float = 0.8) -> DataFrame:
-    """doc_id, license (the best match's), dice, licenses (all that match), n_units (units that match) of every row."""
-    grams = [(name, bigrams(normalised(text))) for name, text in templates]
-    sizes = [len(g) for _, g in grams]
-    slack = 1e-9  # the bounds are met exactly at times
-    low, high = min(sizes) * least / (2 - least) - slack, max(sizes) * (2 - least) / least + slack
-    clean = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^a-z0-9\n]+", " ")
-    paragraphs = F.filter(F.split(clean, r"\n *\n\s*"), lambda p: F.contains(p, F.lit("\n")))
-    units = F.concat(F.split(clean, "\n"), F.transform(paragraphs, lambda p: F.regexp_replace(p, r"\s+", " ")))
-    units = F.filter(F.transform(units, lambda u: F.trim(u)), lambda u: u != "")
-    # the number of spaces bounds the number of bigrams from above, so short units drop out before any is built
-    units = F.filter(units, lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= low - 1)
-    gram_sets = F.filter(F.transform(units, _pairs), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
-
-    def matches(g: Column) -> Column:
-        out = []
-        for (name, template), b in zip(grams, sizes, strict=True):
-            fits = (F.size(g) >= b * least / (2 - least) - slack) & (F.size(g) <= b * (2 - least) / least + slack)
-            dice = F.when(fits, 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, template)))) / (F.size(g) + b))
-            out.append(F.struct((-dice).alias("minus"), F.lit(name).alias("name")))
-        return F.filter(F.array(*out), lambda m: m["minus"] <= -least)
-
-    found = F.filter(F.transform(gram_sets, matches), lambda m: F.size(m) > 0)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).withColumn("all", F.flatten("found"))
+    """doc_id, license (the best match's), dice, licenses (all that match), n_matches (windows that match) of every row."""
+    grams = [g for _, text in templates for g, _ in marks(normalised(text), least)]
+    clean = F.regexp_replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), r"[^a-z0-9]+", " ")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.trim(clean), F.lit(" ")).alias("clean"))
+    words = F.when(F.col("clean").rlike(pattern(grams)), F.split(F.trim("clean"), " "))  # null without a mark
+    rows = rows.select("doc_id", words.alias("words"))
+    nothing = F.array().cast("array<struct<shared:int,minus:double,name:string,start:int,end:int>>")
+    bigram_at = F.transform(F.col("words"), lambda w, i: F.concat_ws(" ", w, F.try_element_at(F.col("words"), i + 2)))
+    rows = rows.select("doc_id", "words", bigram_at.alias("at"))
+    # a column each, so that what is used twice is computed once
+    found = {f"m{k}": _matches(F.col("words"), F.col("at"), name, text, least) for k, (name, text) in enumerate(templates)}
+    rows = rows.select("doc_id", "words", *[F.when(F.col("words").isNotNull(), m).alias(c) for c, m in found.items()])
+    rows = rows.select("doc_id", F.when(F.col("words").isNotNull(), F.concat(*[_best(F.col(c)) for c in found])).otherwise(nothing).alias("all"))
+    rows = rows.select("doc_id", _best(F.col("all")).alias("all"))
     best = F.array_min("all")
-    return rows.select("doc_id", best["name"].alias("license"), F.coalesce(-best["minus"], F.lit(0.0)).alias("dice"), F.array_sort(F.array_distinct(F.transform("all", lambda m: m["name"]))).alias("licenses"), F.size("found").cast("long").alias("n_units"))
+    return rows.select("doc_id", best["name"].alias("license"), F.coalesce(-best["minus"], F.lit(0.0)).alias("dice"), F.array_sort(F.array_distinct(F.transform("all", lambda m: m["name"]))).alias("licenses"), F.size("all").cast("long").alias("n_matches"))

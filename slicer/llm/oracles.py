@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slicer.llm.licenses import TEMPLATES
+from slicer.llm.licenses import TEMPLATES, bigrams, marks, normalised
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLAIN = r"[^\x20\x09-\x0D]+"
@@ -19,16 +19,22 @@ def _windows(n: int, source: str = "w", by: str = "doc_id, ws, len(ws) AS n") ->
 
 
 def licenses(least: float = 0.8) -> str:
-    values = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in TEMPLATES)
+    words = [normalised(text) for _, text in TEMPLATES]
+    values = ", ".join(f"({k}, {_text(name)}, {len(w)}, [{', '.join(map(_text, bigrams(w)))}])" for k, ((name, _), w) in enumerate(zip(TEMPLATES, words, strict=True)))
+    places = ", ".join(f"({k}, {_text(g)}, {i})" for k, w in enumerate(words) for g, i in marks(w, least))
     grams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return rf"""
-WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {values}) v(name, x))),
-d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS c FROM documents),
-u AS (SELECT doc_id, trim(unnest(list_concat(string_split(c, chr(10)), list_transform(list_filter(regexp_split_to_array(c, '\n *\n\s*'), lambda p: contains(p, chr(10))), lambda p: regexp_replace(p, '\s+', ' ', 'g'))))) AS unit FROM d),
-a AS (SELECT doc_id, row_number() OVER () AS k, {grams} AS g FROM (SELECT doc_id, string_split(unit, ' ') AS w FROM u WHERE unit <> '')),
-m AS (SELECT doc_id, k, name, 2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) AS dice FROM a JOIN t ON len(a.g) <= len(t.g) * {(2 - least) / least} + 1e-6 AND len(t.g) <= len(a.g) * {(2 - least) / least} + 1e-6 WHERE 2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) >= {least}),
-b AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT k) AS n_units FROM m GROUP BY doc_id)
-SELECT d.doc_id, b.license, round(coalesce(b.dice, 0.0)::DOUBLE, 6) AS dice, coalesce(b.licenses, '') AS licenses, coalesce(b.n_units, 0)::BIGINT AS n_units FROM documents d LEFT JOIN b USING (doc_id)"""
+WITH t(k, name, n, tg) AS (VALUES {values}), p(k, gram, place) AS (VALUES {places}),
+d AS (SELECT doc_id, row_number() OVER () AS r, string_split(trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM documents),
+g AS (SELECT r, i, ws[i] || coalesce(' ' || ws[i + 1], '') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+s AS (SELECT DISTINCT r, k, i - 1 - place AS s FROM g JOIN p USING (gram)),
+c AS (SELECT r, k, name, n, tg, greatest(s, 0) AS a, least(s + n, len(ws)) AS z, ws[greatest(s, 0) + 1:least(s + n, len(ws))] AS w FROM s JOIN t USING (k) JOIN d USING (r)),
+m AS (SELECT r, k, name, a, z, len(list_intersect(x, tg)) AS n, len(x) + len(tg) AS total FROM (SELECT *, {grams} AS x FROM c)),
+f AS (SELECT *, 2.0::DOUBLE * n / total AS dice FROM m WHERE 2.0::DOUBLE * n / total >= {least}),
+e AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.r = f.r AND q.k = f.k AND q.a < f.z AND f.a < q.z AND (-q.n, -q.dice, q.a, q.z) < (-f.n, -f.dice, f.a, f.z))),
+o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e q WHERE q.r = e.r AND q.a < e.z AND e.a < q.z AND (-q.n, -q.dice, q.name, q.a, q.z) < (-e.n, -e.dice, e.name, e.a, e.z))),
+b AS (SELECT r, arg_min(name, (-n, -dice, name)) AS license, arg_min(dice, (-n, -dice, name)) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_matches FROM o GROUP BY r)
+SELECT d.doc_id, b.license, round(coalesce(b.dice, 0.0)::DOUBLE, 6) AS dice, coalesce(b.licenses, '') AS licenses, coalesce(b.n_matches, 0)::BIGINT AS n_matches FROM d LEFT JOIN b USING (r)"""
 
 
 def urls(rules: list[tuple[str, str]], rounds: int = 120, damping: float = 0.85, threshold: float = 1e-3) -> str:

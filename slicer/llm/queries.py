@@ -19,7 +19,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), F.concat_ws(",", "licenses").alias("licenses"), "n_units")
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), F.concat_ws(",", "licenses").alias("licenses"), "n_matches")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
