@@ -18,6 +18,7 @@ rows are judged each; an empty table gives no rows; further columns are dropped.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -105,37 +106,34 @@ def pattern(grams: list[str]) -> str:
     return f" (?:{'|'.join(f'{c}(?:{chr(124).join(rest)})' for c, rest in letters.items())})"
 
 
-def _pairs(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_distinct(F.when(n < 2, words).otherwise(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
+_PAIRS = "array_distinct(if(size(x.w) < 2, x.w, zip_with(slice(x.w, 1, greatest(size(x.w) - 1, 0)), slice(x.w, 2, greatest(size(x.w) - 1, 0)), (a, b) -> concat_ws(' ', a, b))))"
 
 
-def _matches(words: Column, bigram_at: Column, name: str, text: str, least: float) -> Column:
-    """Array of struct(shared, minus, name, start, end), the first two negative: the windows that match a template."""
+def _matches(name: str, text: str, least: float) -> Column:
+    """Array of struct(shared, minus, name, start, end), the first two negative: the windows of ``words`` that match a template.
+
+    ``at`` has the bigram that begins with each word. As SQL text, because building the same from a call for each part takes seconds.
+    """
     template = normalised(text)
-    grams, n = bigrams(template), len(template)
-    b, slack = len(grams), 1e-9
+    grams, n, slack = bigrams(template), len(template), 1e-9
+    b, escaped = len(grams), name.replace("\\", "\\\\").replace("'", "\\'")
     places: dict[str, list[int]] = {}
     for g, i in marks(template, least):
         places.setdefault(g, []).append(i)
-    # as SQL text, since a call for each literal takes seconds; words are letters and digits
-    of = F.expr(f"map({', '.join(f'{chr(39)}{g}{chr(39)}, array({str(at)[1:-1]})' for g, at in places.items())})")
-    all_grams = F.expr(f"array({str(grams)[1:-1]})")
-    hits = F.filter(F.transform(bigram_at, lambda g, i: F.struct(i.alias("i"), F.try_element_at(of, g).alias("at"))), lambda h: h["at"].isNotNull())
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(h["at"], lambda at: h["i"] - at))))
-
-    bounds = F.transform(starts, lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), F.least(s + n, F.size(words)).alias("end")))
-    sliced = F.transform(bounds, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.slice(words, w["start"] + 1, w["end"] - w["start"]).alias("w")))
-    windows = F.transform(sliced, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), _pairs(w["w"]).alias("g")))
-    cut = F.filter(windows, lambda w: (F.size(w["g"]) >= b * least / (2 - least) - slack) & (F.size(w["g"]) <= b * (2 - least) / least + slack))
-    shared = F.transform(cut, lambda w: F.struct((-F.size(F.array_intersect(w["g"], all_grams))).alias("shared"), (F.size(w["g"]) + b).alias("both"), w["start"].alias("start"), w["end"].alias("end")))
-    scored = F.transform(shared, lambda m: F.struct(m["shared"].alias("shared"), (2.0 * m["shared"] / m["both"]).alias("minus"), F.lit(name).alias("name"), m["start"].alias("start"), m["end"].alias("end")))
-    return F.filter(scored, lambda m: m["minus"] <= -least)
-
-
-def _best(found: Column) -> Column:
+    hits = f"filter(transform(at, (g, i) -> struct(i AS i, try_element_at(from_json('{json.dumps(places)}', 'map<string,array<int>>'), g) AS p)), h -> h.p IS NOT NULL)"
+    starts = f"array_distinct(flatten(transform({hits}, h -> transform(h.p, q -> h.i - q))))"
+    bounds = f"transform({starts}, s -> struct(greatest(s, 0) AS start, least(s + {n}, size(words)) AS end))"
+    sliced = f"transform({bounds}, w -> struct(w.start AS start, w.end AS end, slice(words, w.start + 1, w.end - w.start) AS w))"
+    windows = f"transform({sliced}, x -> struct(x.start AS start, x.end AS end, {_PAIRS} AS g))"
+    cut = f"filter({windows}, w -> size(w.g) >= {b * least / (2 - least) - slack} AND size(w.g) <= {b * (2 - least) / least + slack})"
+    shared = f"transform({cut}, w -> struct(-size(array_intersect(w.g, split('{'|'.join(grams)}', '[|]'))) AS shared, size(w.g) + {b} AS total, w.start AS start, w.end AS end))"
+    scored = f"transform({shared}, m -> struct(m.shared AS shared, 2.0D * m.shared / m.total AS minus, '{escaped}' AS name, m.start AS start, m.end AS end))"
+    return F.expr(f"filter({scored}, m -> m.minus <= -{least}D)")
+
+
+def _best(found: str) -> str:
     """Matches that no better one overlaps."""
-    return F.filter(found, lambda m: ~F.exists(found, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & (o < m)))
+    return f"filter({found}, m -> NOT exists({found}, o -> o.start < m.end AND m.start < o.end AND o < m))"
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, least: float = 0.8) -> DataFrame:
@@ -145,13 +143,13 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *,
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.trim(clean), F.lit(" ")).alias("clean"))
     words = F.when(F.col("clean").rlike(pattern(grams)), F.split(F.trim("clean"), " "))  # null without a mark
     rows = rows.select("doc_id", words.alias("words"))
-    nothing = F.array().cast("array<struct<shared:int,minus:double,name:string,start:int,end:int>>")
-    bigram_at = F.transform(F.col("words"), lambda w, i: F.concat_ws(" ", w, F.try_element_at(F.col("words"), i + 2)))
-    rows = rows.select("doc_id", "words", bigram_at.alias("at"))
+    bigram_at = "transform(words, (w, i) -> concat_ws(' ', w, try_element_at(words, i + 2)))"
+    rows = rows.select("doc_id", "words", F.expr(bigram_at).alias("at"))
     # a column each, so that what is used twice is computed once
-    found = {f"m{k}": _matches(F.col("words"), F.col("at"), name, text, least) for k, (name, text) in enumerate(templates)}
+    found = {f"m{k}": _matches(name, text, least) for k, (name, text) in enumerate(templates)}
     rows = rows.select("doc_id", "words", *[F.when(F.col("words").isNotNull(), m).alias(c) for c, m in found.items()])
-    rows = rows.select("doc_id", F.when(F.col("words").isNotNull(), F.concat(*[_best(F.col(c)) for c in found])).otherwise(nothing).alias("all"))
-    rows = rows.select("doc_id", _best(F.col("all")).alias("all"))
+    nothing = "cast(array() AS array<struct<shared:int,minus:double,name:string,start:int,end:int>>)"
+    rows = rows.selectExpr("doc_id", f"if(words IS NOT NULL, concat({', '.join(_best(c) for c in found)}), {nothing}) AS all")
+    rows = rows.selectExpr("doc_id", f"{_best('all')} AS all")
     best = F.array_min("all")
     return rows.select("doc_id", best["name"].alias("license"), F.coalesce(-best["minus"], F.lit(0.0)).alias("dice"), F.array_sort(F.array_distinct(F.transform("all", lambda m: m["name"]))).alias("licenses"), F.size("all").cast("long").alias("n_matches"))
