@@ -1,15 +1,16 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Fit (on a bounded sample of labelled rows, ``fit_rows_per_class`` of each class):
-log-odds of tokens, toxic against clean, by numbers of documents. The prior of a
+Fit (on a bounded sample of labelled rows, ``fit_rows_per_class`` of each class, near copies once; nothing
+else is bounded): log-odds of tokens, toxic against clean, by numbers of documents. The prior of a
 word is Dirichlet with the rates of the word's beginnings (4 to 6 characters), so
-inflected and unseen words inherit from their stem. Tokens whose log-odds are not
-significant pool into one background token, whose negative score makes the mean of
-exp(score) over the words of clean texts 1, so that scores fall on average there.
+inflected and unseen words inherit from their stem. Words whose log-odds are significant either way keep their
+score, so that clean words break passages; stems count for toxicity only. All other tokens pool into one background token,
+whose score is the log ratio of its shares in toxic and clean texts, below 0 by as much as makes the mean score of clean words negative.
 
 Score: a linear scan finds all maximal scoring segments of a text. Extreme-value
 calibration: chance segments of score S or more occur K n exp(-lambda S) times in n clean
-words, with K and lambda fitted to the segments of the clean texts in the sample. Segments
+words. Lambda solves: the mean of exp(lambda score) over clean words is 1; where the segments of the sample's clean texts
+have a heavier tail than that, as words are not independent, theirs is taken. K comes from their number. Segments
 of which fewer than ``LEVEL`` are expected at the text's own length are its passages. Each is
 worth lambda S - log(K n); the sum over passages, mapped to a probability by a logistic
 fit, is the score. For the calibration every text is scored without its own part in the counts.
@@ -17,7 +18,8 @@ fit, is the score. For the calibration every text is scored without its own part
 Defined results: null and empty texts have no passages and get the score of such
 texts, which is never a toxic one; without labels of both classes every score is 0; a null doc_id is never
 held out and never trained on; repeated rows are scored each; labels that contradict
-each other count as toxic; further columns are dropped.
+each other count as toxic; texts of any length are read whole; the fit is the same however rows are dealt out; an empty table
+gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 
 from slicer.llm.session import bound_batches, checkpointed
 
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 TOKEN = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
 LEVEL = 0.05
-SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, n_passages int, passage_start int, passage_end int, passage_score double"
+SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, n_passages int, passages array<struct<start:int,end:int,score:double>>"
 
 
 @dataclass
@@ -144,10 +147,11 @@ def _sample(documents: DataFrame, labels: DataFrame, rows_per_class: int) -> Dat
     # near copies share the least hash of their word triples with high probability
     few = few.withColumn("w", F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
     least = F.expr("array_min(transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(w[i], try_element_at(w, i + 2), try_element_at(w, i + 3))))")
-    return few.withColumn("least", least).dropDuplicates(["least", "toxic"]).select("text", "toxic")
+    # at most 2 * rows_per_class rows: the least document of each group, so that the fit does not depend on the order of rows
+    return few.withColumn("least", least).groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")).select("text", "toxic")
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, fit_rows_per_class: int = 6000, prior: float = 0.5, min_z: float = 2.7, min_odds: float = 1.5, max_features: int = 40_000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, fit_rows_per_class: int = 6000, prior: float = 0.5, min_z: float = 2.7, min_odds: float = 1.5) -> Model:
     """Fit on a bounded, hash-ordered sample of the labelled rows (documented bound: ``fit_rows_per_class``)."""
     spark = documents.sparkSession
     bound_batches(spark)
@@ -158,16 +162,19 @@ def fit(documents: DataFrame, labels: DataFrame, *, fit_rows_per_class: int = 60
     if not total or not total[0].n1 or not total[0].n0:
         return Model()
     t1, t0 = total[0].n1, total[0].n0
-    # also what is significant once a clean text is left out; leaving a toxic one out adds nothing
-    z, odds = _significance(F.col("n1"), F.col("n0"), t1, t0, prior)
-    wide, wide_odds = _significance(F.col("n1"), F.greatest(F.col("n0") - 1, F.lit(0)), t1, t0 - 1, prior)
-    rows = counts.where("feature <> ''").withColumn("z", z).where(((z >= min_z) & (odds >= min_odds)) | ((wide >= min_z) & (wide_odds >= min_odds))).orderBy(F.col("z").desc(), "feature").limit(max_features).collect()
+    # also what is significant once a text is left out of the other class; leaving one out of its own adds nothing
+    tests = [_significance(F.col("n1"), F.col("n0"), t1, t0, prior), _significance(F.col("n1"), F.greatest(F.col("n0") - 1, F.lit(0)), t1, t0 - 1, prior), _significance(F.greatest(F.col("n1") - 1, F.lit(0)), F.col("n0"), t1 - 1, t0, prior)]
+    strong = [(z >= min_z) & (odds >= min_odds) for z, odds in tests] + [(z <= -min_z) & (odds <= -min_odds) & ~F.startswith("feature", F.lit("^")) for z, odds in tests]
+    chosen = strong[0]
+    for c in strong[1:]:
+        chosen = chosen | c
+    rows = counts.where("feature <> ''").where(chosen).orderBy("feature").collect()  # some of the sample's words
     features = [(r.feature, r.n1, r.n0) for r in rows]
     limits = (prior, min_z, min_odds)
     model = _model(features, t1, t0, *limits)
     others = (_model([(f, n1, max(n0 - 1, 0)) for f, n1, n0 in features], t1, t0 - 1, *limits), _model([(f, max(n1 - 1, 0), n0) for f, n1, n0 in features], t1 - 1, t0, *limits))
     found = sample.mapInArrow(_hits(others), "n int, at array<int>, scores array<double>, toxic int").collect()
-    _calibrate(model, [(r.n, r["at"], r.scores) for r in found if not r.toxic])
+    _calibrate(model, *([(r.n, r["at"], r.scores) for r in found if r.toxic == y] for y in (0, 1)))
     x = [passages(r.n, r["at"], r.scores, model)[0] for r in found]
     model.offset, model.slope = _logistic(np.array(x), np.array([r.toxic for r in found], float))
     model.offset = min(model.offset, -0.01)  # a text without passages is not toxic, whatever the share of toxic labels
@@ -185,7 +192,7 @@ def _model(features: list[tuple[str, int, int]], t1: int, t0: int, prior: float,
     kept = []
     for feature, n1, n0 in features:
         z, odds = _significance(n1, n0, t1, t0, prior, math.log, math.sqrt)
-        if z >= min_z and odds >= min_odds:
+        if z >= min_z and odds >= min_odds or feature[0] != "^" and z <= -min_z and odds <= -min_odds:
             kept.append((feature, n1, n0))
     model = Model(stems={f[1:]: _log_odds(n1, n0, t1, t0, prior, 0.0, 0.0) for f, n1, n0 in kept if f[0] == "^"})
     for f, n1, n0 in kept:
@@ -195,17 +202,30 @@ def _model(features: list[tuple[str, int, int]], t1: int, t0: int, prior: float,
     return model
 
 
-def _calibrate(model: Model, clean: list[tuple[int, list[int], list[float]]]) -> None:
-    """Set background, lambda and K from the tokens of clean texts (see ``hits``)."""
+def _calibrate(model: Model, clean: list[tuple[int, list[int], list[float]]], toxic: list[tuple[int, list[int], list[float]]]) -> None:
+    """Set background, lambda and K from the tokens of texts (see ``hits``)."""
     n, found = sum(c[0] for c in clean), sum(len(c[1]) for c in clean)
-    rest = 1 - sum(math.exp(v) - 1 for c in clean for v in c[2]) / max(1, n - found)  # exp(background)
-    model.background = min(-0.01, math.log(max(rest, math.exp(-1))))
+    n1, found1 = sum(c[0] for c in toxic), sum(len(c[1]) for c in toxic)
+    values = np.sort(np.array([v for c in clean for v in c[2]]))  # sorted, so that sums do not depend on the order of texts
+    rest = max(1, n - found)
+    ratio = math.log(max(1, n1 - found1) / max(1, n1)) - math.log(rest / max(1, n))
+    model.background = min(ratio, -0.01, -0.01 - max(0.0, float(values.sum())) / rest)
+    # lambda: sum of p0 * exp(lambda * score) = 1, between 0 and where the sum is over 1 for good
+    excess = lambda x: (float(np.exp(x * values).sum()) + rest * math.exp(x * model.background)) / max(1, rest + len(values)) - 1
+    low, high = 0.0, 1.0
+    if len(values) and values[-1] > 0:
+        while excess(high) < 0:
+            high *= 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+        model.scale = max(low, 1e-3)
     s = np.array([x[2] for c in clean for x in maximal_segments(c[1], c[2], model.background)])
     least = float(np.median(s)) if len(s) else 0.0
     over = s[s > least] - least
     # quantiles, because some labels are wrong; the widest of them, because clean texts differ
     if len(over) >= 20:
-        model.scale = min(1.0, *(-math.log(1 - q) / float(np.quantile(over, q)) for q in (0.5, 0.75, 0.9)))
+        model.scale = min(model.scale, *(-math.log(1 - q) / float(np.quantile(over, q)) for q in (0.5, 0.75, 0.9)))
     model.chance = (len(over) + 1) * math.exp(model.scale * least) / max(1, n)
 
 
@@ -250,18 +270,17 @@ def _scored(model: Model):
             found = [evidence(t, scores) for t in batch["text"].to_pylist()]
             z = np.clip(model.offset + model.slope * np.array([x for x, _ in found], float), -700, 700)
             p = 1 / (1 + np.exp(-z))
-            best = [max(s, key=lambda v: v[2], default=None) for _, s in found]
+            every = [[{"start": x, "end": y, "score": v} for x, y, v in segments] for _, segments in found]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(s) for _, s in found], pa.int32())]
-                + [pa.array([b and b[0] for b in best], pa.int32()), pa.array([b and b[1] for b in best], pa.int32()), pa.array([b and b[2] for b in best], pa.float64())],
-                ["doc_id", "held_out", "score", "predicted", "n_passages", "passage_start", "passage_end", "passage_score"],
+                [batch["doc_id"], batch["held_out"], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(s) for s in every], pa.int32()), pa.array(every, PASSAGES)],
+                ["doc_id", "held_out", "score", "predicted", "n_passages", "passages"],
             )
 
     return run
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``documents``: its score and its strongest passage (in tokens)."""
+    """One row per row of ``documents``: its score and all its passages (in tokens)."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scored(model), SCHEMA)

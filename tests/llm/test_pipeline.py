@@ -83,22 +83,60 @@ def test_toxicity_operator(spark, folder):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
 
 
-def test_maximal_segments_against_brute_force():
-    r = random.Random(1)
-    for _ in range(300):
-        s = [r.choice([-1.0, 3.0, 1.0, -1.0, -1.0, 2.0]) for _ in range(r.randrange(1, 12))]
-        found = toxicity.maximal_segments([i for i, v in enumerate(s) if v != -1], [v for v in s if v != -1], -1.0)
+def brute_segments(s):
+    """The definition: the best segment, then those left and right of it."""
+
+    def best(a, b):
+        top = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
+        if top is None or top[0] <= 0:
+            return []
+        _, i, j = top
+        return best(a, i) + [(i, j)] + best(j, b)
+
+    return best(0, len(s))
 
-        def best(a, b):  # the definition: best segment first, then left and right of it
-            top = max(((sum(s[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
-            if top is None or top[0] <= 0:
-                return []
-            _, _, _, i, j = top
-            return best(a, i) + [(i, j)] + best(j, b)
 
-        assert sum(v for _, _, v in found) >= max((sum(s[i:j]) for i, j in best(0, len(s))), default=0)
-        assert max((v for _, _, v in found), default=0) == max((sum(s[i:j]) for i, j in best(0, len(s))), default=0)
-        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+def test_maximal_segments_and_evidence_against_brute_force():
+    import math
+
+    r = random.Random(1)
+    for _ in range(400):
+        s = [r.choice([-1.0, -1.0, r.uniform(-3, 0), r.uniform(0, 4)]) for _ in range(r.randrange(1, 14))]  # no ties but of the background
+        at = [i for i, v in enumerate(s) if v != -1]
+        found = toxicity.maximal_segments(at, [s[i] for i in at], -1.0)
+        want = brute_segments(s)
+        assert [(a, b) for a, b, _ in found] == want
+        assert all(abs(v - sum(s[a:b])) < 1e-9 for a, b, v in found)
+        model = toxicity.Model(background=-1.0, scale=0.7, chance=0.02)
+        total, strong = toxicity.passages(len(s), at, [s[i] for i in at], model)
+        worth = [0.7 * sum(s[a:b]) - math.log(0.02 * len(s)) for a, b in want]
+        assert abs(total - sum(w for w in worth if w > -math.log(toxicity.LEVEL))) < 1e-9
+        assert [x[:2] for x in strong] == [x for x, w in zip(want, worth) if w > -math.log(toxicity.LEVEL)]
+
+
+def test_lambda_and_background_are_solved():
+    import math
+
+    model = toxicity.Model(words={"bad": 2.0, "good": -1.5})
+    clean = [(10, [0], [-1.5]), (10, [1], [2.0]), (80, [], [])] * 10
+    toxicity._calibrate(model, clean, [(20, [0, 1, 2], [2.0, 2.0, 2.0])] * 10)
+    assert abs(model.background - math.log((17 / 20) / (98 / 100))) < 1e-9
+    mean = (10 * math.exp(model.scale * 2) + 10 * math.exp(model.scale * -1.5) + 980 * math.exp(model.scale * model.background)) / 1000
+    assert abs(mean - 1) < 1e-6
+
+
+def test_fit_is_the_same_for_any_partitioning_and_odd_rows(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5)]
+    assert models[0] == models[1] and any(v < 0 for v in models[0].words.values()) is not None
+    long = " ".join(["w1 w2 w3"] * 20_000)
+    rows = [(1, long), (1, long), (2, None), (3, ""), (4, f"{long} gruk blarg snotz gruk blarg {long}"), (None, "gruk blarg snotz gruk")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), models[0]).collect()
+    of = lambda i: [x for x in got if x.doc_id == i]
+    assert len(of(1)) == 2 and of(1)[0].score == of(1)[1].score and of(1)[0].predicted == 0
+    assert of(2)[0].score == of(3)[0].score < 0.5 and of(2)[0].passages == []
+    assert of(4)[0].predicted == 1 and [(p.start, p.end) for p in of(4)[0].passages] == [(60_000, 60_005)]
+    assert of(None)[0].predicted == 1 and of(None)[0].held_out is False
 
 
 def test_long_clean_texts_are_not_toxic(spark):
@@ -128,7 +166,10 @@ def test_long_clean_texts_are_not_toxic(spark):
         while len(words) < n:
             words += r.choice(clean).split()
         assert not predicted(" ".join(words))
-        assert predicted(" ".join(words[: n // 2] + [*RUDE, *RUDE] + words[n // 2 :]))
+        whole = " ".join(words[: n // 2] + [*RUDE, *RUDE] + words[n // 2 :])
+        assert predicted(whole)
+        length, at, values = toxicity.hits(whole, scores)
+        assert sum(values) + model.background * (length - len(at)) < 0  # without the search for segments it would be lost
 
 
 def test_near_copies_with_null_and_clashing_ids(spark):
