@@ -1,17 +1,18 @@
 """Benchmark windows in documents, by a prefix-filtered set join.
 
 An item's windows are runs of ``width`` words (a shorter item is one window). A
-window's shingles are its word pairs; counted over all documents, they are ordered by
-rarity. A document holds a window only if it holds all of its shingles, so the
+window's shingles are its word pairs; counted over all documents in one scan, they are ordered by
+rarity. The counts are kept in ``BUCKETS`` by hash, so that their size does not depend on the benchmark; shingles that
+share a bucket look more frequent than they are, which changes where the search begins, never what it finds. A document holds a window only if it holds all of its shingles, so the
 necessary prefix is the single rarest one: only places where it occurs are
 candidates. Positional and length bounds drop those where the window would begin
 before or end after the document, and the rest are verified word by word.
 
-The benchmark is sent to the executors in blocks of at most ``block_words`` words,
+The benchmark is sent to the executors in blocks of about ``block_words`` words,
 each a pass within the same stage, so what is broadcast is bounded whatever its
-size. Documents are never shuffled, so no group of copies meets in one task.
+size (one item longer than that is a block of its own). Documents are never shuffled, so no group of copies meets in one task.
 
-Defined results: null texts have no words; null item texts have no windows and null
+Defined results: texts of any length are read whole; empty tables give no rows, or no hits; null texts have no words; null item texts have no windows and null
 item ids are left out of the items; repeated rows are judged each; further columns
 are dropped.
 """
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from slicer.llm.session import bound_batches
 from slicer.llm.words import WORD_BASES, Words, chunks, is_alnum, lower_ascii, windows, words
 
+#: Buckets of shingle counts; 32 MB where they are counted.
+BUCKETS = 1 << 22
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 STATE = "doc_id bigint, text string, spans binary, items array<string>"
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -70,13 +73,13 @@ def shingles_of(h: np.ndarray) -> tuple[int, np.ndarray]:
     return (1, h) if len(h) == 1 else (2, windows(h, 2))
 
 
-def build(found: dict[bytes, list[str]], counts: dict[tuple[int, int], int]) -> Block:
+def build(found: dict[bytes, list[str]], counts: dict[int, np.ndarray]) -> Block:
     texts = sorted(found)
     length, full, keys = [], [], {1: [], 2: []}
     for i, t in enumerate(texts):
         h = _hashes(t)
         size, s = shingles_of(h)
-        rare = min(range(len(s)), key=lambda j: (counts.get((size, int(s[j])), 0), j))
+        rare = int(counts[size][bucket(s)].argmin())
         keys[size].append((int(s[rare]), i, rare))
         length.append(len(h))
         full.append(int(windows(h, len(h), WORD_BASES[1])[0]))
@@ -143,26 +146,61 @@ def occurrences(w: Words, block: Block, lookups: dict[int, Lookup]) -> tuple[np.
     return start[exact], win[exact]
 
 
-def _counts(keys: dict[int, np.ndarray]):
-    """Occurrences of the given shingles in a partition of documents."""
+def bucket(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _shingle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets that the shingles of some items fall into."""
+    seen = {1: np.zeros(BUCKETS, bool), 2: np.zeros(BUCKETS, bool)}
+    for batch in batches:
+        for _, buf, off in chunks(batch["text"]):
+            w = document_words(buf, off)
+            h = w.hashes()
+            seen[1][bucket(h[w.first[:-1][w.n == 1]])] = True  # items of one word
+            seen[2][bucket(windows(h, 2))] = True
+    for size, some in seen.items():
+        at = np.flatnonzero(some)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(at.astype(np.int32))], ["size", "bucket"])
+
+
+def _counts(wanted):
+    """Occurrences of shingles in a partition of documents, by those buckets that items have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = {s: Lookup(k) for s, k in keys.items()}
-        total = {s: np.zeros(len(lookups[s].keys), np.int64) for s in keys}
+        chosen = {size: np.unpackbits(np.frombuffer(bits, np.uint8), count=BUCKETS).astype(bool) for size, bits in wanted.value.items()}
+        total = {size: np.zeros(BUCKETS, np.int64) for size in chosen}
         for batch in batches:
             for _, buf, off in chunks(batch["text"]):
                 h = document_words(buf, off).hashes()
-                for size, look in lookups.items():
-                    s = h if size == 1 else windows(h, 2)
-                    if len(look.keys):
-                        total[size] += np.bincount(np.searchsorted(look.keys, s[look.find(s)]), minlength=len(look.keys))
+                for size, some in chosen.items():
+                    at = bucket(h if size == 1 else windows(h, 2))
+                    np.add.at(total[size], at[some[at]], 1)
         for size, n in total.items():
-            some = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), size, np.int32)), pa.array(lookups[size].keys[some].view(np.int64)), pa.array(n[some])], ["size", "shingle", "n"])
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["size", "bucket", "n"])
 
     return run
 
 
+def shingle_counts(docs: DataFrame, items: DataFrame) -> dict[int, np.ndarray]:
+    """By shingle size, how often shingles of each bucket occur in all documents, where items have some: one scan, at most 2 * BUCKETS numbers."""
+    given = items.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_shingle_buckets, "size int, bucket int").distinct().toArrow()
+    counts, wanted = {1: np.zeros(BUCKETS, np.int64), 2: np.zeros(BUCKETS, np.int64)}, {}
+    size, at = given["size"].to_numpy(), given["bucket"].to_numpy()
+    for k in np.unique(size).tolist():
+        some = np.zeros(BUCKETS, bool)
+        some[at[size == k]] = True
+        wanted[k] = np.packbits(some).tobytes()
+    if wanted:
+        sent = docs.sparkSession.sparkContext.broadcast(wanted)  # a bit a bucket
+        found = docs.select("text").mapInArrow(_counts(sent), "size int, bucket int, n bigint").groupBy("size", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        for k in wanted:
+            of = found["size"].to_numpy() == k
+            counts[k][found["bucket"].to_numpy()[of]] = found["n"].to_numpy()[of]
+    return counts
+
+
 def _mark(block, last: bool, carry: bool):
     """Add a block's occurrences to the spans and items of each document; the last pass digests them."""
 
@@ -221,18 +259,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 10
         state = documents.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         kept = f"row {state.schema['row'].dataType.simpleString()}, "
     state = state.withColumns({"spans": F.lit(b"").cast("binary"), "items": F.array().cast("array<string>")})
+    counts = shingle_counts(docs, items)
     for i in range(n_blocks):
         rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == i).toLocalIterator()]  # about block_words words
         found = item_windows(rows, width)
-        keys: dict[int, list] = {1: [], 2: []}
-        for t in found:
-            size, s = shingles_of(_hashes(t))
-            keys[size].append(s)
-        keys = {s: np.unique(np.concatenate(k)) if k else np.empty(0, np.uint64) for s, k in keys.items()}
-        counts = {}
-        if found:
-            counted = docs.select("text").mapInArrow(_counts(keys), "size int, shingle bigint, n bigint").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
-            counts = {(r["size"], r["shingle"] & (1 << 64) - 1): r["n"] for r in counted}
         last = i == n_blocks - 1
         state = state.mapInArrow(_mark(spark.sparkContext.broadcast(build(found, counts)), last, carry), kept + (RESULT if last else STATE))
     return state
