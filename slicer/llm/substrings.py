@@ -10,13 +10,14 @@ equal anchors, so a window can repeat only if its anchor's hash occurs again, an
 anchors are about one position in six. An anchor whose hash occurs once ends there.
 
 Each surviving anchor carries the hashes of the windows it stands for. Windows that
-repeat within a batch are settled there (only the batch's first goes on), anchors of
-crowded hashes are dealt out window by window, so that neither copies nor a common
-line gather in one task. Half and full hashes together are 128 bits wide.
+repeat within a batch are settled there (only the batch's first goes on). Anchors whose hash occurs at most ``crowd``
+times meet in one task. Those of crowded hashes are dealt out window by window and, so that neither copies nor a common
+line gather in one task, in ``SALTS`` parts each: a part's first occurrence goes on, and the first of all parts is a
+minimum that combines before the shuffle. Half and full windows are hashed from independent 64-bit word hashes, 128 bits together.
 
 Order is by doc_id, then start. Defined results: null texts have no words; a null
 doc_id counts as greater than any; repeated equal rows are the same document (neither
-removes from the other); rows with one doc_id and different texts are documents of
+removes from the other); texts of any length are read whole; an empty table gives no rows; rows with one doc_id and different texts are documents of
 their own, ordered by a hash of the text; further columns are dropped.
 """
 
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicer.llm.session import bound_batches, checkpointed
-from slicer.llm.words import U64, WORD_BASES, Words, chunks, is_plain, mix, windows, words
+from slicer.llm.session import bound_batches, checkpointed, written
+from slicer.llm.words import SECOND_BYTE_BASE, U64, WORD_BASES, Words, chunks, is_plain, mix, windows, words
 
 LAST = (1 << 63) - 1
+SALTS = 256
 
 
 def sliding_argmin(values: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> pa.RecordBatc
     row = np.repeat(at, parts)
     k = _ranges(np.zeros(len(at), np.int64), parts)
     length = np.minimum(60_000, np.repeat(n, parts) - 60_000 * k)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array((start[row] + 60_000 * k) * 65536 + length), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.list_(pa.int64()))], ["doc", "tag", "span", "key", "start", "hashes"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array((start[row] + 60_000 * k) * 65536 + length), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.list_(pa.int64())), pa.nulls(len(row), pa.bool_())], ["doc", "tag", "span", "key", "start", "hashes", "alone"])
 
 
 def _level_two(window: int):
@@ -118,7 +120,7 @@ def _level_two(window: int):
                 start, anchor = start[some], anchor[some]
                 if not len(start):
                     continue
-                full = windows(h, window, WORD_BASES[1])[start]
+                full = windows(w.hashes(SECOND_BYTE_BASE), window, WORD_BASES[1])[start]
                 text = np.searchsorted(w.first, start, side="right") - 1
                 d, t, local = doc[first + text], tag[first + text], start - w.first[text]
                 # repeats within this batch: all but the first are later windows
@@ -140,16 +142,18 @@ def _level_two(window: int):
                 row = np.flatnonzero(cut)
                 key = np.where(alone[row], mix(halves[a[row]] ^ f2[row]), halves[a[row]])
                 hashes = pa.ListArray.from_arrays(pa.array(np.append(row, len(a)).astype(np.int32)), pa.array(f2.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(d2[row]), pa.array(t2[row]), pa.nulls(len(row), pa.int64()), pa.array(key.view(np.int64)), pa.array(l2[row].astype(np.int32)), hashes], ["doc", "tag", "span", "key", "start", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(d2[row]), pa.array(t2[row]), pa.nulls(len(row), pa.int64()), pa.array(key.view(np.int64)), pa.array(l2[row].astype(np.int32)), hashes, pa.array(alone[row])], ["doc", "tag", "span", "key", "start", "hashes", "alone"])
 
     return run
 
 
-LEVEL_TWO = "doc bigint, tag bigint, span bigint, key bigint, start int, hashes array<bigint>"
+LEVEL_TWO = "doc bigint, tag bigint, span bigint, key bigint, start int, hashes array<bigint>, alone boolean"
+SETTLED = "doc bigint, tag bigint, span bigint, key bigint, hash bigint, start int"
+SETTLED_NAMES = [c.split()[0] for c in SETTLED.split(", ")]
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of later windows, from records sorted by (key, doc, tag, start)."""
+    """Spans of later windows, and the first ones of a part of a crowded window, from records sorted by (key, doc, tag, start)."""
     last_key, seen = None, {}  # firsts of the key that the batch before ended with
     for batch in batches:
         if not batch.num_rows:
@@ -178,7 +182,16 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.setdefault(int(h[i]), (d[i], t[i], start[i]))
         if later.any():
             out = _spans(d[later], t[later], start[later])
-            yield out.select(["doc", "tag", "span"])
+            yield _settled(out)
+        head = batch["alone"].to_numpy(zero_copy_only=False)[row].astype(bool) & ~later
+        if head.any():
+            yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(t[head]), pa.nulls(int(head.sum()), pa.int64()), pa.array(key[row[head]]), pa.array(h[head]), pa.array(start[head].astype(np.int32))], SETTLED_NAMES)
+
+
+def _settled(spans: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (doc, tag, span) in the form of ``SETTLED``."""
+    n = len(spans)
+    return pa.RecordBatch.from_arrays([spans["doc"], spans["tag"], spans["span"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], SETTLED_NAMES)
 
 
 def kept_words(text: bytes, spans: np.ndarray, window: int) -> tuple[int, list[bytes]]:
@@ -233,11 +246,16 @@ def later_spans(documents: DataFrame, *, window: int = 20, crowd: int = 5000) ->
     marks = anchors.join(repeated, "key").select("doc", "tag", F.expr(f"pos * 2L + int(n > {crowd})").alias("mark"))
     marks = marks.groupBy("doc", "tag").agg(F.collect_list("mark").alias("anchors"))  # as long as the document at most
     # with the same columns as in removed(), so that texts are exchanged once for both
-    records = docs.join(marks.hint("shuffle_hash"), ["doc", "tag"]).select("doc_id", "doc", "tag", "text", "anchors").mapInArrow(_level_two(window), LEVEL_TWO)
-    # both kinds of rows pass one exchange: settled spans are spread by document
-    dealt = records.withColumn("to", F.coalesce("key", F.xxhash64("doc", "tag", "span"))).repartition("to").sortWithinPartitions("key", "doc", "tag", "start")
-    found = dealt.mapInArrow(_pass_or_settle, "doc bigint, tag bigint, span bigint")
-    return docs, found.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), tag
+    records = docs.join(marks, ["doc", "tag"]).select("doc_id", "doc", "tag", "text", "anchors").mapInArrow(_level_two(window), LEVEL_TWO)
+    # both kinds of rows pass one exchange: settled spans are spread by document, crowded windows by window and part
+    part = F.when(F.col("alone"), F.xxhash64("key", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALTS)))).otherwise(F.coalesce("key", F.xxhash64("doc", "tag", "span")))
+    dealt = records.withColumn("to", part).repartition("to").sortWithinPartitions("key", "doc", "tag", "start")
+    found = written(dealt.mapInArrow(_pass_or_settle, SETTLED))
+    heads = found.where("span is null").select("key", "hash", F.struct("doc", "tag", "start").alias("at"))
+    firsts = heads.groupBy("key", "hash").agg(F.min("at").alias("first"))
+    later = heads.join(firsts, ["key", "hash"]).where("at > first").select("at.doc", "at.tag", F.expr("at.start * 65536L + 1").alias("span"))
+    spans = found.where("span is not null").select("doc", "tag", "span").unionByName(later)
+    return docs, spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), tag
 
 
 def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +265,7 @@ def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for batch in batches:
             settled = batch["key"].is_null()
             if settled.true_count:
-                ready.append(batch.filter(settled).select(["doc", "tag", "span"]))
+                ready.append(_settled(batch.filter(settled)))
                 batch = batch.filter(batch["key"].is_valid())
             yield batch
 
@@ -261,7 +279,7 @@ def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def removed(documents: DataFrame, *, window: int = 20, digest: bool = False, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; kept: the kept words joined by one space, or its SHA-256."""
     docs, spans, _ = later_spans(documents, window=window, **options)
-    return docs.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans")).mapInArrow(_finish(window, digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return docs.join(spans, ["doc", "tag"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans")).mapInArrow(_finish(window, digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def deduplicated(documents: DataFrame, *, window: int = 20, **options) -> DataFrame:
@@ -269,7 +287,7 @@ def deduplicated(documents: DataFrame, *, window: int = 20, **options) -> DataFr
     _, spans, tag = later_spans(documents, window=window, **options)
     tagged = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tagged = tagged.withColumn("tag", tag)
-    joined = tagged.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("row", "text", "spans")
+    joined = tagged.join(spans, ["doc", "tag"], "left").select("row", "text", "spans")
     schema = joined.select("row").schema["row"].dataType.simpleString()
     done = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<bigint>"))).mapInArrow(_rewrite(window), f"row {schema}, kept string")
     new = {"text": F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("row.text"))}

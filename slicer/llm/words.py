@@ -17,6 +17,7 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 #: Odd multipliers for polynomial hashes modulo 2**64; any odd numbers serve.
 BYTE_BASE = 0x9E3779B97F4A7C15
+SECOND_BYTE_BASE = 0xC2B2AE3D27D4EB4F
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text that are hashed at a time (a longer single text is taken alone).
 CHUNK = 1 << 21
@@ -78,12 +79,12 @@ class Words:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.first) - 1), self.n)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; those of two bases are independent."""
         size = len(self.buf) + 1
         run = np.zeros(size, U64)
-        np.cumsum((self.buf.astype(U64) + U64(1)) * powers(BYTE_BASE, size)[:-1], out=run[1:])
-        back = powers(pow(BYTE_BASE, -1, 1 << 64), size)
+        np.cumsum((self.buf.astype(U64) + U64(1)) * powers(base, size)[:-1], out=run[1:])
+        back = powers(pow(base, -1, 1 << 64), size)
         return mix((run[self.end] - run[self.start]) * back[self.start])
 
 
