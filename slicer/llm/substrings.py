@@ -12,8 +12,8 @@ anchors are about one position in six. An anchor whose hash occurs once ends the
 Each surviving anchor carries the hashes of the windows it stands for. Windows that
 repeat within a batch are settled there (only the batch's first goes on). Anchors whose hash occurs at most ``crowd``
 times meet in one task. Those of crowded hashes are dealt out window by window and, so that neither copies nor a common
-line gather in one task, in ``SALTS`` parts each: a part's first occurrence goes on, and the first of all parts is a
-minimum that combines before the shuffle. Half and full windows are hashed from independent 64-bit word hashes, 128 bits together.
+line gather in one task, in ``SALTS`` parts each: only a part's first occurrence goes on, and those
+of all parts, at most ``SALTS`` a window, meet in a second exchange. Half and full windows are hashed from independent 64-bit word hashes, 128 bits together.
 
 Order is by doc_id, then start. Defined results: null texts have no words; a null
 doc_id counts as greater than any; repeated equal rows are the same document (neither
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicer.llm.session import bound_batches, checkpointed, written
+from slicer.llm.session import bound_batches, checkpointed
 from slicer.llm.words import SECOND_BYTE_BASE, U64, WORD_BASES, Words, chunks, is_plain, mix, windows, words
 
 LAST = (1 << 63) - 1
@@ -148,8 +148,7 @@ def _level_two(window: int):
 
 
 LEVEL_TWO = "doc bigint, tag bigint, span bigint, key bigint, start int, hashes array<bigint>, alone boolean"
-SETTLED = "doc bigint, tag bigint, span bigint, key bigint, hash bigint, start int"
-SETTLED_NAMES = [c.split()[0] for c in SETTLED.split(", ")]
+NAMES = [c.split()[0] for c in LEVEL_TWO.split(", ")]
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +181,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.setdefault(int(h[i]), (d[i], t[i], start[i]))
         if later.any():
             out = _spans(d[later], t[later], start[later])
-            yield _settled(out)
+            yield out.select(NAMES)
         head = batch["alone"].to_numpy(zero_copy_only=False)[row].astype(bool) & ~later
         if head.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(t[head]), pa.nulls(int(head.sum()), pa.int64()), pa.array(key[row[head]]), pa.array(h[head]), pa.array(start[head].astype(np.int32))], SETTLED_NAMES)
-
-
-def _settled(spans: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (doc, tag, span) in the form of ``SETTLED``."""
-    n = len(spans)
-    return pa.RecordBatch.from_arrays([spans["doc"], spans["tag"], spans["span"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], SETTLED_NAMES)
+            one = pa.ListArray.from_arrays(pa.array(np.arange(head.sum() + 1, dtype=np.int32)), pa.array(h[head]))
+            yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(t[head]), pa.nulls(len(one), pa.int64()), pa.array(key[row[head]]), pa.array(start[head].astype(np.int32)), one, pa.array(np.zeros(len(one), bool))], NAMES)
 
 
 def kept_words(text: bytes, spans: np.ndarray, window: int) -> tuple[int, list[bytes]]:
@@ -250,11 +244,10 @@ def later_spans(documents: DataFrame, *, window: int = 20, crowd: int = 5000) ->
     # both kinds of rows pass one exchange: settled spans are spread by document, crowded windows by window and part
     part = F.when(F.col("alone"), F.xxhash64("key", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALTS)))).otherwise(F.coalesce("key", F.xxhash64("doc", "tag", "span")))
     dealt = records.withColumn("to", part).repartition("to").sortWithinPartitions("key", "doc", "tag", "start")
-    found = written(dealt.mapInArrow(_pass_or_settle, SETTLED))
-    heads = found.where("span is null").select("key", "hash", F.struct("doc", "tag", "start").alias("at"))
-    firsts = heads.groupBy("key", "hash").agg(F.min("at").alias("first"))
-    later = heads.join(firsts, ["key", "hash"]).where("at > first").select("at.doc", "at.tag", F.expr("at.start * 65536L + 1").alias("span"))
-    spans = found.where("span is not null").select("doc", "tag", "span").unionByName(later)
+    first = dealt.mapInArrow(_pass_or_settle, LEVEL_TWO)
+    # then the parts' firsts, at most SALTS a window; all in one plan, so that texts are exchanged once for both joins
+    again = first.withColumn("to", F.coalesce("key", F.xxhash64("doc", "tag", "span"))).repartition("to").sortWithinPartitions("key", "doc", "tag", "start")
+    spans = again.mapInArrow(_pass_or_settle, LEVEL_TWO).where("span is not null").select("doc", "tag", "span")
     return docs, spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), tag
 
 
@@ -265,7 +258,7 @@ def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for batch in batches:
             settled = batch["key"].is_null()
             if settled.true_count:
-                ready.append(_settled(batch.filter(settled)))
+                ready.append(batch.filter(settled).select(NAMES))
                 batch = batch.filter(batch["key"].is_valid())
             yield batch
 
