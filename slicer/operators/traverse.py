@@ -238,9 +238,15 @@ class Traversal:
             if parts and t in self.frames:
                 roles[t] = union_all(parts)
         out = Slice(self.model, self.graph, self.config, tables, roles, {}, self.kept)
+        bounded = self.options.children_per_parent or self.options.rows_per_table or any(a.limit and not self.model.has_key(self.model.root_of(a.table)) for a in given)
         for t in roles:
             rows = roles[t].drop("role", "depth")
-            full = rows if not self.model.has_key(t) else members(self.frames[t], rows, self.identity(t))
+            if self.model.has_key(t):
+                full = members(self.frames[t], rows, self.identity(t))
+            elif bounded:
+                full = rows
+            else:  # equal rows of a table without a key are one identity but stay as many rows
+                full = members(self.frames[t], rows, self.identity(t), null_safe=True)
             tables[t] = self._nulled(t, full.select(*[F.col(f"`{c}`") for c in self.frames[t].columns]), roles, out)
         return out
 

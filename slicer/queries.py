@@ -92,9 +92,9 @@ def key_membership_text(spark, sf_dir):
 # --- traversal ---------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey < 50))")
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))")
 def parents_of_slice(spark, sf_dir):
-    return cut(spark, sf_dir, ("orders WHERE o_orderkey < 50",), upstream=True).tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    return cut(spark, sf_dir, ("orders WHERE o_orderstatus = 'P'",), upstream=True).tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {LINES5}")
@@ -185,21 +185,21 @@ def skipped_edge_null(spark, sf_dir):
     return cut(spark, sf_dir, config=config).tables["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN user_id WHEN event_id % 5 <> 0 THEN user_id END AS user_id FROM (SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 AND event_id < 500) ")
+@query("SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN user_id END AS user_id FROM events")
 def predicate_nulls_dangling(spark, sf_dir):
     """A predicate on parents nulls the keys that it leaves dangling."""
     config = Config(associations=[Association("events", "customer", condition="c_acctbal > 0")])
-    t = cut(spark, sf_dir, ("events WHERE event_id % 5 = 0 AND event_id < 500",), config, upstream=True)
+    t = cut(spark, sf_dir, ("events",), config, upstream=True)
     return t.tables["events"].select("event_id", "user_id")
 
 
-_DISC = "SELECT event_id, user_id AS subject_id, CASE WHEN event_id % 3 = 0 THEN 'customer' WHEN event_id % 3 = 1 THEN 'supplier' WHEN event_id % 6 = 2 THEN 'other' END AS subject_type FROM events WHERE event_id < 300"
+_DISC = "SELECT event_id, user_id AS subject_id, CASE WHEN event_id % 3 = 0 THEN 'customer' WHEN event_id % 3 = 1 THEN 'supplier' WHEN event_id % 6 = 2 THEN 'other' END AS subject_type FROM events"
 
 
 @query(f"SELECT 'customer' AS table_name, c_custkey AS pk FROM customer WHERE c_custkey IN (SELECT subject_id FROM ({_DISC}) WHERE subject_type = 'customer') UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey IN (SELECT subject_id FROM ({_DISC}) WHERE subject_type = 'supplier')")
 def polymorphic_parents(spark, sf_dir):
     frames = tpch.tables(spark, sf_dir, ("customer", "supplier"))
-    frames["notes"] = table(spark, sf_dir, "events").where("event_id < 300").selectExpr("event_id", "user_id AS subject_id", "CASE WHEN event_id % 3 = 0 THEN 'customer' WHEN event_id % 3 = 1 THEN 'supplier' WHEN event_id % 6 = 2 THEN 'other' END AS subject_type")
+    frames["notes"] = table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS subject_id", "CASE WHEN event_id % 3 = 0 THEN 'customer' WHEN event_id % 3 = 1 THEN 'supplier' WHEN event_id % 6 = 2 THEN 'other' END AS subject_type")
     model = from_constraints({"tables": {"customer": {"primary_key": ["c_custkey"]}, "supplier": {"primary_key": ["s_suppkey"]}, "notes": {"primary_key": ["event_id"]}}}, frames)
     config = Config(virtual_keys=[VirtualKey("notes", "subject_id", "subject_type", (("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey")))])
     t = extract(frames, model, ["notes"], config, Options(upstream=True)).tables
@@ -246,10 +246,10 @@ def self_ref_ancestors(spark, sf_dir):
 _PAIR = "SELECT c_custkey AS id, c_nationkey AS team, c_custkey % 7 AS kind FROM customer"
 
 
-@query(f"SELECT id, team, kind FROM ({_PAIR}) WHERE (team, kind) IN (SELECT s_nationkey, s_suppkey % 7 FROM supplier WHERE s_suppkey < 4)")
+@query(f"SELECT id, team, kind FROM ({_PAIR}) WHERE (team, kind) IN (SELECT s_nationkey, s_suppkey % 7 FROM supplier)")
 def composite_key_children(spark, sf_dir):
     """Children along a key of two columns."""
-    frames = {"child": table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS team", "c_custkey % 7 AS kind"), "parent": table(spark, sf_dir, "supplier").where("s_suppkey < 4").selectExpr("s_nationkey AS team", "s_suppkey % 7 AS kind").distinct()}
+    frames = {"child": table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS team", "c_custkey % 7 AS kind"), "parent": table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS team", "s_suppkey % 7 AS kind").distinct()}
     model = from_constraints({"tables": {"child": {"primary_key": ["id"]}, "parent": {"primary_key": ["team", "kind"]}}, "foreign_keys": [{"from": "child", "from_columns": ["team", "kind"], "to": "parent", "to_columns": ["team", "kind"]}]}, frames)
     return extract(frames, model, ["parent"]).tables["child"]
 
@@ -394,11 +394,11 @@ def manifest_keyset_page(spark, sf_dir):
 
 # --- two phases, literals, DDL -----------------------------------------------------
 
-_EMP = "SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey // 5 END AS manager_id FROM part WHERE p_partkey < 200"
+_EMP = "SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey // 5 END AS manager_id FROM part"
 
 
 def _staff(spark, sf_dir):
-    frames = {"emp": table(spark, sf_dir, "part").where("p_partkey < 200").selectExpr("p_partkey AS id", "p_name AS title", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey div 5 END AS manager_id")}
+    frames = {"emp": table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS title", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey div 5 END AS manager_id")}
     model = from_constraints({"tables": {"emp": {"primary_key": ["id"]}}, "foreign_keys": [{"from": "emp", "from_columns": "manager_id", "to": "emp", "to_columns": "id"}]}, frames)
     t = Traversal(frames, model)
     return frames, model, t.graph
@@ -424,10 +424,10 @@ def two_phase_statements(spark, sf_dir):
 
 @query(
     "SELECT k, i, CASE WHEN s IS NULL THEN 'NULL' ELSE '''' || replace(s, '''', '''''') || '''' END AS pg, CASE WHEN s IS NULL THEN 'NULL' ELSE '''' || replace(replace(replace(replace(s, '\\', '\\\\'), chr(10), '\\n'), '''', '\\'''), '\"', '\\\"') || '''' END AS my, CASE WHEN b THEN 'TRUE' ELSE 'FALSE' END AS b, '''' || strftime(t, '%Y-%m-%d %H:%M:%S') || '''' AS t "
-    "FROM (SELECT o_orderkey AS k, o_custkey::VARCHAR AS i, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'it''s \"' || o_orderpriority || '\"\\' || chr(10) || 'é' END AS s, o_orderkey % 2 = 0 AS b, date_trunc('day', o_orderdate) AS t FROM orders WHERE o_orderkey < 1000)"
+    "FROM (SELECT o_orderkey AS k, o_custkey::VARCHAR AS i, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'it''s \"' || o_orderpriority || '\"\\' || chr(10) || 'é' END AS s, o_orderkey % 2 = 0 AS b, date_trunc('day', o_orderdate) AS t FROM orders)"
 )
 def sql_literals(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    df = table(spark, sf_dir, "orders")
     text = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("it's \""), "o_orderpriority", F.lit('"\\\né')))
     df = df.select("o_orderkey", "o_custkey", text.alias("s"), (F.col("o_orderkey") % 2 == 0).alias("b"), F.date_trunc("day", "o_orderdate").alias("t"))
     of = lambda engine, c: literal(engine, F.col(c), df.schema[c].dataType)

@@ -50,12 +50,15 @@ def statements(tables: Mapping[str, DataFrame], model: SchemaModel, graph: Graph
 
 
 def write_sql(out: TextIO, tables: Mapping[str, DataFrame], model: SchemaModel, graph: Graph, engine: str = POSTGRES, schema: str = "public", with_ddl: bool = True) -> None:
-    """A dump to an open text file; rows stream through the driver one partition at a time."""
+    """A dump to an open text file; rows stream through the driver one partition at a time, in no order within a table."""
     for line in preamble(model, graph, engine, tables, with_ddl):
         out.write(line + "\n")
-    if tables:
-        rows = statements(tables, model, graph, engine, schema).orderBy("phase", "position", "statement")
-        for r in rows.toLocalIterator(prefetchPartitions=True):
+    # table after table in the order of the mapping, without a sort of the whole dump
+    cyclic = graphs.cyclic_nullable(model, graph) if engine == MYSQL else {}
+    parts = [insert_statements(phase_one(df, cyclic.get(t, ())), engine, schema, t, model) for t, df in tables.items()]
+    parts += [update_statements(df, engine, schema, t, model, c) for t, df in tables.items() for c in cyclic.get(t, ())]
+    for part in parts:
+        for r in part.toLocalIterator(prefetchPartitions=True):
             out.write(r.statement + "\n")
     out.write("COMMIT;\n")
 

@@ -114,7 +114,7 @@ def test_topology_warnings():
     m = schema({("orders", "user_id", "users"): True, ("events", "user_id", "users"): True})
     m.distribution = {"users": Distribution("distributed", "tenant_id", 1), "orders": Distribution("distributed", "tenant_id", 1), "events": Distribution("distributed", "user_id", 2)}
     w = m.topology_warnings()
-    assert sum("spans different colocation groups" in x for x in w) == 1 and sum("does not include distribution column" in x for x in w) == 3
+    assert sum("do not lie together" in x for x in w) == 1 and sum("is dealt" in x or "are dealt" in x for x in w) == 3
 
 
 def test_depths_and_cycles():

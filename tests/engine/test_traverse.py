@@ -115,7 +115,7 @@ def test_null_keys_never_fall_back_and_tables_without_key(spark):
     frames, model = world(spark, tables, [fk("child", "parent_id", "parent"), fk("log", "a", "parent")], no_key=["log"])
     assert ids(extract(frames, model, ["child"]), "parent") == []
     cut = extract(frames, model, ["parent WHERE id = 1"])
-    assert sorted(map(tuple, cut.tables["log"].collect()), key=str) == [(1, "x"), (1, None)] or len(cut.tables["log"].collect()) == 2
+    assert sorted(map(tuple, cut.tables["log"].collect()), key=str) == [(1, "x"), (1, "x"), (1, None)]  # equal rows stay
 
 
 def test_two_keys_to_one_parent_sample_by_edge(spark):
@@ -168,7 +168,7 @@ def test_policy_split(spark):
     assert (r.status, r.orphan_count, r.policy_excluded_count, r.rls_active) == ("Corrupted/Orphan", 1, 2, True)
     r = verify(frames | {"orders": frames["orders"].where("id < 104")}, model, policies={"customers": "id = 2"}).collect()
     assert (r[0].status, r[0].policy_excluded_count) == ("Policy-Excluded", 2)
-    assert "2 row(s) [Policy-Excluded]" in format_report(r) and "0 orphaned" in format_report([])
+    assert "2 row(s) hidden by a row policy" in format_report(r) and "have their parents" in format_report([])
     assert verify(frames, model, drained=["customers"]).isEmpty()
 
 
