@@ -17,7 +17,9 @@ five-word shingles differ in about 8 of 64 bits, which such a budget misses, so
 ``similar_documents`` takes several tables of short fingerprints (signs of random
 projections), lets the trie join propose pairs in each and accepts those whose shingle
 similarity, estimated from a 256-byte min-hash signature beside the fingerprint, is high enough
-(at most one standard error of the estimate below it).
+(at most one standard error of the estimate below it). Fingerprints that thousands of texts share
+cannot be told apart by further bits; ``_hot_stars`` deals such a key out in parts twice and then
+compares what is not connected yet with every part, so no link under the key is lost.
 
 Defined results: null texts and texts without a word have fingerprint zero and
 are linked like any other; rows with a null doc_id get the component of equal
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicer.llm.graph import components
-from slicer.llm.session import bound_batches, checkpointed
+from slicer.llm.session import bound_batches, checkpointed, written
 from slicer.llm.words import U64, Words, chunks, is_plain, lower_ascii, windows, words
 
 BITS = 64
@@ -97,13 +99,26 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, bits: int = BITS) -> np.ndarray:
+class Labels:
+    """The same with every root at hand, so that a test of many indices is one array operation."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label
+
+    def link(self, i: int, j: int) -> None:
+        x, y = sorted((int(self.label[i]), int(self.label[j])))
+        if x != y:
+            self.label[self.label == y] = x
+
+
+def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, bits: int = BITS, linked: np.ndarray | None = None) -> np.ndarray:
     """Roots (indices) of the groups of sorted ``values`` linked within ``distance`` bits.
 
     A trie node is a run of the sorted values that share their leading bits. ``similar``
-    (of two arrays of indices) decides about pairs within the distance that are not yet connected.
+    (of two arrays of indices) decides about pairs within the distance that are not yet connected;
+    ``linked`` are the roots of what is connected from the start.
     """
-    forest = Forest(len(values))
+    forest = Forest(len(values)) if similar is None else Labels(np.arange(len(values)) if linked is None else linked.copy())
     todo = [(0, len(values), 0, len(values), bits - 1, 0)]
     while todo:
         a, b, c, d, bit, spent = todo.pop()
@@ -122,7 +137,7 @@ def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, b
             continue
         if (b - a) * (d - c) <= leaf * leaf:
             if similar is not None:
-                left, right = (np.array([forest.root(k) for k in range(*x)]) for x in ((a, b), (c, d)))
+                left, right = forest.label[a:b].copy(), forest.label[c:d].copy()
                 if (left == left[0]).all() and (right == left[0]).all():
                     continue  # all connected: nothing to learn
                 near = (left[:, None] != right[None, :]) & (np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= distance)
@@ -144,7 +159,7 @@ def trie_join(values: np.ndarray, distance: int, leaf: int = 64, similar=None, b
             todo.append((a, mid[0], mid[1], d, bit - 1, spent + 1))
             if (a, b) != (c, d):  # a node paired with itself has its mirrored pair already
                 todo.append((mid[0], b, c, mid[1], bit - 1, spent + 1))
-    return np.array([forest.root(i) for i in range(len(values))], np.int64)
+    return np.array([forest.root(i) for i in range(len(values))], np.int64) if similar is None else forest.label
 
 
 def _subtries(distance: int):
@@ -158,25 +173,47 @@ def _subtries(distance: int):
         return node[other], node[root[other]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+        keys = _keys(batches, lambda b: [b["fp"].to_numpy(zero_copy_only=False).view(U64), b["node"].to_numpy(zero_copy_only=False)])
+        yield from _pairs(join(*values) for values in keys)
 
-        def flush(key, fp, node):
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            pairs = [join(fp[i:j], node[i:j]) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True) if j - i > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64), pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
 
-        for batch in batches:
-            new = [batch["key"].to_numpy(zero_copy_only=False), batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64), batch["node"].to_numpy(zero_copy_only=False)]
-            left = [np.concatenate([x, y]) for x, y in zip(left, new, strict=True)]
-            if len(left[0]):
-                whole = int(np.searchsorted(left[0], left[0][-1]))  # the last key may go on
-                if whole:
-                    yield flush(*(x[:whole] for x in left))
-                    left = [x[whole:] for x in left]
-        if len(left[0]):
-            yield flush(*left)
 
-    return run
+def _keys(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list[np.ndarray]]:
+    """The ``columns`` of each key's rows, which come sorted by key; keys of one row are left out."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, values = batch["key"].to_numpy(zero_copy_only=False), columns(batch)
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if parts and parts[0][0] != key[i]:
+                if sum(len(p[1]) for p in parts) > 1:
+                    yield [np.concatenate([p[k] for p in parts]) for k in range(1, len(parts[0]))]
+                parts = []
+            parts.append([key[i], *(v[i:j] for v in values)])
+    if parts and sum(len(p[1]) for p in parts) > 1:
+        yield [np.concatenate([p[k] for p in parts]) for k in range(1, len(parts[0]))]
+
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The pairs of many keys in batches of about ``rows``."""
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in some]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held = 0
+    for pair in found:
+        if len(pair[0]):
+            some.append(pair)
+            held += len(pair[0])
+        if held >= rows:
+            yield batch()
+            some, held = [], 0
+    if some:
+        yield batch()
 
 
 def _block(value: str, low: int, high: int) -> str:
@@ -267,48 +304,66 @@ def _signed(n_tables: int, bits: int, projected: int, compared: int):
 
 
 def _similar_subtries(distance: int, least: float, bits: int):
-    """Stars (a, b) of verified links in each key's subtrie; rows come sorted by key."""
+    """Stars (a, b) of verified links in each key's subtrie; rows come sorted by key, those of one ``label`` are connected."""
 
-    def join(fp: np.ndarray, node: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def join(fp: np.ndarray, node: np.ndarray, label: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((node, fp))
-        fp, node, code = fp[order], node[order], code[order]
+        fp, node, label, code = fp[order], node[order], label[order], code[order]
+        _, first, same = np.unique(label, return_index=True, return_inverse=True)
 
         def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             x, y = code[i], code[j]
             both, either = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
             return both >= least * either
 
-        root = trie_join(fp, distance, similar=similar, bits=bits)
-        other = root != np.arange(len(root))
-        return node[other], node[root[other]]
+        root = trie_join(fp, distance, similar=similar, bits=bits, linked=first[same])
+        new = np.flatnonzero((root != first[same]) & (np.arange(len(root)) == first[same]))  # a link a label is enough
+        return node[new], node[root[new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty((0, BINS), np.uint8)]
-        parts: list[list[np.ndarray]] = []
+        def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+            code = np.frombuffer(b"".join(b["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
+            return [b["fp"].to_numpy(zero_copy_only=False).view(U64), b["node"].to_numpy(zero_copy_only=False), b["label"].to_numpy(zero_copy_only=False), code]
 
-        def flush(key, fp, node, code):
-            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            pairs = [join(fp[i:j], node[i:j], code[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64), pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint8).reshape(-1, BINS)
-            parts.append([batch["key"].to_numpy(zero_copy_only=False), batch["fp"].to_numpy(zero_copy_only=False).view(U64), batch["node"].to_numpy(zero_copy_only=False), code])
-            if len(parts) > 1 and parts[-1][0][-1] == parts[0][0][0]:
-                continue  # the same key goes on
-            left = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            whole = int(np.searchsorted(left[0], left[0][-1]))
-            if whole:
-                yield flush(*(x[:whole] for x in left))
-            parts = [[x[whole:] for x in left]]
-        if parts:
-            yield flush(*[np.concatenate([p[k] for p in parts]) for k in range(4)])
+        yield from _pairs(join(*values) for values in _keys(batches, columns))
 
     return run
 
 
+def _stars(rows: DataFrame, join) -> DataFrame:
+    return rows.select("key", "fp", "node", "label", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(join, "a bigint, b bigint")
+
+
+def _hot_stars(hot: DataFrame, others: DataFrame, join, most: int) -> DataFrame:
+    """Stars of the rows of ``hot`` (key, n, fp, node, signature), keys of n > ``most`` rows, given all ``others``' stars.
+
+    The rows of a key are dealt out in parts of about ``most`` twice, by independent hashes, and joined
+    part by part: a group of near copies is connected through the nodes that parts of both deals share.
+    What is then outside the key's largest component is compared with every part of the key, in blocks,
+    which completes the pairs of the key; it is little wherever copies make the key hot.
+    """
+    parts = F.expr(f"cast(ceil(n / {most}) as bigint)")
+    dealt = lambda seed: F.xxhash64("key", F.lit(seed), F.pmod(F.xxhash64("node", "key", F.lit(seed)), parts))
+    twice = hot.select(F.explode(F.array(dealt(1), dealt(2))).alias("key"), "fp", "node", F.col("node").alias("label"), "signature")
+    stars = written(others.unionByName(_stars(twice, join)))
+    found = components(stars)
+    hot = hot.join(found, "node", "left").select("key", "n", "fp", "node", "signature", F.coalesce("component", "node").alias("label"))
+    largest = hot.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    # one row a key, and a key has more than ``most`` rows; adaptive execution chooses the join
+    rest = written(hot.join(largest, "key").where("label <> largest").drop("largest"))
+    if rest.isEmpty():
+        return stars
+    base = hot.join(rest.select("key").distinct(), "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("node", "key", F.lit(3)), parts))
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    blocks = base.unionByName(rest).withColumn("key", F.xxhash64("key", F.lit(3), "part"))
+    return stars.unionByName(_stars(blocks, join))
+
+
+def _bounded(keys: DataFrame, most: int = 100_000) -> DataFrame:
+    """``keys``, broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def _exact(text: str = "text"):
     return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
@@ -325,17 +380,24 @@ def _similar(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5
     wide = classes.where("signature is not null").select("node", "signature", F.posexplode("tables").alias("t", "fp"))
     tops = [F.expr(f"struct({i} as i, {_block('fp', lo, hi)} as top)") for i, (lo, hi) in enumerate(blocks)]
     rows_of = lambda df, *more: df.select("node", "fp", "t", *more, F.explode(F.array(*tops)).alias("x")).select("node", "fp", *more, "x.i", F.expr(f"(x.top * {parts} + x.i) * {n_tables} + t").alias("key"))
+    join = _similar_subtries(distance, similarity - (similarity * (1 - similarity) / BINS) ** 0.5, bits)
     crowded = checkpointed(rows_of(wide).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("crowded")))
-    spread = rows_of(wide, "signature")
-    if not crowded.isEmpty():  # split by blocks of the bits outside the top, as in links()
-        small = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
+    spread = rows_of(wide, "signature").withColumn("label", F.col("node"))
+    if crowded.isEmpty():
+        stars = _stars(spread, join)
+    else:  # split by blocks of the bits outside the top, as in links()
         below = []
         for i, (lo, hi) in enumerate(blocks):
             rest = " + ".join(([f"({_block('fp', hi, bits)} << {lo})"] if hi < bits else []) + ([_block("fp", 0, lo)] if lo else []))
             below.append(f"when i = {i} then array({', '.join(f'xxhash64(key, {j}, {_block(chr(40) + rest + chr(41), a, b)})' for j, (a, b) in enumerate(_cuts(bits - (hi - lo), parts)))})")
-        marked = spread.join(small, "key", "left")
-        spread = marked.select("node", "fp", "signature", F.explode(F.when(F.col("crowded"), F.expr(f"case {' '.join(below)} end")).otherwise(F.array("key"))).alias("key"))
-    stars = spread.select("key", "fp", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_similar_subtries(distance, similarity - (similarity * (1 - similarity) / BINS) ** 0.5, bits), "a bigint, b bigint")
+        split = lambda df, *more: df.join(_bounded(crowded), "key", "left").select("node", "fp", *more, F.explode(F.when(F.col("crowded"), F.expr(f"case {' '.join(below)} end")).otherwise(F.array("key"))).alias("key"))
+        hot = checkpointed(split(rows_of(wide)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
+        spread = split(spread, "label", "signature")
+        if hot.isEmpty():
+            stars = _stars(spread, join)
+        else:
+            few = _bounded(hot)
+            stars = _hot_stars(spread.drop("label").join(few, "key"), _stars(spread.join(few, "key", "left_anti"), join), join, most)
     found = components(stars)
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "exact", "digest").join(named, "digest").select("doc_id", "exact", "component")

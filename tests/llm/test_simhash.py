@@ -110,3 +110,37 @@ def test_similar_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for c in comp.values()})
     assert simhash.similar_documents(docs.limit(0)).collect() == []
+
+
+def test_hot_keys(spark):
+    """A group of texts of one fingerprint, far larger than ``most``, and strangers beside it under the same keys."""
+    import random
+
+    r = random.Random(4)
+    rows, want = [], {}
+    for group, size in enumerate((120, 3, 2, 1, 1)):
+        code = bytes(r.randrange(1, 256) for _ in range(simhash.BINS))
+        for _ in range(size):
+            v = bytearray(code)
+            for k in r.sample(range(simhash.BINS), 4):
+                v[k] = r.randrange(1, 256)
+            want[len(rows)] = group
+            rows.append((r.randrange(2), 0, len(rows), bytes(v)))
+    hot = spark.createDataFrame([(k, len(rows), f, n, c) for k in (0, 1) for _, f, n, c in rows], "key bigint, n bigint, fp bigint, node bigint, signature binary")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    stars = simhash._hot_stars(hot, none, simhash._similar_subtries(2, 0.78, 32), 10)
+    comp = {c.node: c.component for c in components(stars).collect()}
+    for i in want:
+        for j in want:
+            assert (comp.get(i, i) == comp.get(j, j)) == (want[i] == want[j])
+
+
+def test_near_copies_of_one_text_in_small_parts(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(900)}" for _ in range(400)]
+    texts = [" ".join([*base[:k], "x" + str(k), *base[k + 1 :]]) for k in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "quite another text of some words that stands alone"])], "doc_id bigint, text string")
+    comp = {x.doc_id: x.component_id for x in simhash.similar_documents(docs, most=7).collect()}
+    assert set(comp.values()) == {0, 60} and [i for i, c in comp.items() if c] == [60]
