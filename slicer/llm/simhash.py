@@ -368,7 +368,7 @@ def _exact(text: str = "text"):
     return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _similar(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5, projected: int = 3, n_tables: int = 8, bits: int = 32, distance: int = 2, most: int = 20_000) -> DataFrame:
+def _similar(documents: DataFrame, *, similarity: float = 0.8, compared: int = 5, projected: int = 2, n_tables: int = 8, bits: int = 32, distance: int = 2, most: int = 20_000) -> DataFrame:
     """(doc_id, exact, component) of every row: its id, a hash of its text and its group; nodes are distinct texts."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _exact().alias("exact"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
