@@ -20,7 +20,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 SECOND_BYTE_BASE = 0xC2B2AE3D27D4EB4F
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text that are hashed at a time (a longer single text is taken alone).
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
