@@ -23,12 +23,13 @@ from slicer.operators.verify import verify
 from slicer.plans import config as configs
 from slicer.plans import graph as graphs
 from slicer.plans.anchor import parse_anchors
-from slicer.plans.model import from_constraints
+from slicer.plans.model import SchemaModel, from_constraints
 from slicer.sinks.databases import write_jdbc, write_sqlite
 from slicer.sinks.files import write_parquet, write_sql, write_sql_folder
+from slicer.sources import introspect
 from slicer.sources.dsn import detect_engine, jdbc_options, sqlite_path
 from slicer.sources.probes import probe as source_probe
-from slicer.sources.tables import JdbcSource, ParquetSource, frames
+from slicer.sources.tables import JdbcSource, ParquetSource, TableSource, frames
 
 UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
 
@@ -44,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="slicer", description="Cut a referentially intact, masked slice out of relational data.")
     p.add_argument("--source", required=True, help="folder of Parquet tables, or a database connection")
     p.add_argument("--from", dest="anchors", action="append", required=True, metavar="ANCHOR", help='e.g. "users WHERE id IN (1,2) LIMIT 50"; repeatable')
-    p.add_argument("--constraints", help="YAML file of keys; needed for Parquet sources")
+    p.add_argument("--constraints", help="YAML file of keys; needed for Parquet sources, else the database's catalog is read")
     p.add_argument("--output", default="-", help="SQL file (default: standard output)")
     p.add_argument("--output-folder", default="", help="folder that the executors fill with SQL text instead of one file, for large slices")
     p.add_argument("--schema", default="public", help="schema of the tables")
@@ -81,20 +82,44 @@ def run(spark: SparkSession, args: argparse.Namespace, probe=None, out=None) ->
         except OSError as e:
             raise ConfigError(f"constraint file: {e}") from e
     names = sorted(spec.get("tables") or {})
-    if not names:
+    database = "://" in args.source and args.source.partition("://")[0] in ("postgres", "postgresql", "mysql", "mariadb")
+    if not names and not database:
         raise ConfigError("the constraint file lists no tables")
     try:
-        source = JdbcSource(spark, args.source, args.schema, names, args.bypass_rls) if "://" in args.source and args.source.partition("://")[0] in ("postgres", "postgresql", "mysql", "mariadb") else ParquetSource(spark, args.source, names)
-        tables = frames(source)
+        source = JdbcSource(spark, args.source, args.schema, names, args.bypass_rls) if database else ParquetSource(spark, args.source, names)
+        if database:
+            source.share_snapshot()
     except SlicerError:
         raise
     except Exception as e:
         raise SourceError(f"{args.source}: {e}") from e
-    model = from_constraints(spec, tables)
+    try:
+        return cut_slice(spark, args, source, spec, anchors, config, probe, out, began)
+    finally:
+        if database:
+            source.close()
+
+
+def read_source(source: TableSource, spec: dict) -> tuple[dict, SchemaModel]:
+    """The tables and their model: from the constraint file where it lists tables, else from the database's own catalog."""
+    try:
+        if source.names():
+            tables = frames(source)
+            return tables, from_constraints(spec, tables)
+        model = introspect.read_model(source.read, source.engine, source.schema)
+        return {t: source.table(t) for t in introspect.logical_tables(model)}, model
+    except SlicerError:
+        raise
+    except Exception as e:
+        raise SourceError(str(e)) from e
+
+
+def cut_slice(spark: SparkSession, args: argparse.Namespace, source: TableSource, spec: dict, anchors: list, config: configs.Config, probe=None, out=None, began: float = 0.0) -> dict[str, int]:
+    tables, model = read_source(source, spec)
     for w in [*model.warnings, *model.topology_warnings(), *(key_warnings(model, config) if args.anonymize_pii else [])]:
         print(f"warning: {w}", file=sys.stderr)
     if probe is None:
-        probe = source_probe(source) if isinstance(source, JdbcSource) else lambda: Sample("")  # files are always healthy
+        probe = source_probe(source.engine, source.rows) if isinstance(source, JdbcSource) else lambda: Sample("")  # files are always healthy
     poller = Poller(probe, Thresholds.of(args.max_lag)) if args.safe_mode else None
     if poller:
         poller.start()
@@ -117,27 +142,28 @@ def run(spark: SparkSession, args: argparse.Namespace, probe=None, out=None) ->
 
 
 def write(spark: SparkSession, args: argparse.Namespace, cut, rows, out=None) -> list | None:
+    limiter = Limiter(args.rate_limit, args.concurrency)
     if not args.target:
         if args.output_folder:
             write_sql_folder(rows, cut.model, cut.graph, args.output_folder, args.engine, args.schema)
         elif out is not None or args.output == "-":
-            write_sql(out or sys.stdout, rows, cut.model, cut.graph, args.engine, args.schema)
+            write_sql(out or sys.stdout, rows, cut.model, cut.graph, args.engine, args.schema, limiter=limiter)
         else:
             with open(args.output, "w") as f:
-                write_sql(f, rows, cut.model, cut.graph, args.engine, args.schema)
+                write_sql(f, rows, cut.model, cut.graph, args.engine, args.schema, limiter=limiter)
         return None
     try:
         engine = detect_engine(args.target)
     except SourceError:
         engine = "parquet"
     if engine == SQLITE:
-        write_sqlite(sqlite_path(args.target), rows, cut.model, Limiter(args.rate_limit, args.concurrency))
+        write_sqlite(sqlite_path(args.target), rows, cut.model, limiter)
     elif engine == "parquet":
-        write_parquet(rows, args.target)
+        write_parquet(rows, args.target, limiter=limiter)
     else:
         o = jdbc_options(args.target)
         try:
-            write_jdbc(o.pop("url"), rows, cut.model, cut.graph, engine, args.schema, o, Limiter(args.rate_limit, args.concurrency))
+            write_jdbc(o.pop("url"), rows, cut.model, cut.graph, engine, args.schema, o, limiter)
         except Exception as e:
             raise TargetError(str(e)) from e
     if not args.verify:

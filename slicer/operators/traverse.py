@@ -62,9 +62,13 @@ class Slice:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """A durable copy in the folder that the cluster names; a temporary one serves only where driver and executors are one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slicer-checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="slicer-checkpoint-"))
     return df.checkpoint()
 
 

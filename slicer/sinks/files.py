@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slicer.control import Limiter
 from slicer.functions.identifiers import MYSQL, POSTGRES, SQLITE
 from slicer.operators.members import union_all
 from slicer.operators.twophase import insert_statements, phase_one, update_statements
@@ -17,9 +19,27 @@ from slicer.plans.model import SchemaModel
 from slicer.sinks import ddl
 
 
-def write_parquet(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    for t, df in tables.items():
-        df.write.mode(mode).parquet(f"{path}/{t}")
+def batches(rows: Iterator, n: int) -> Iterator[list]:
+    out: list = []
+    for r in rows:
+        out.append(r)
+        if len(out) == n:
+            yield out
+            out = []
+    if out:
+        yield out
+
+
+def write_parquet(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists", limiter: Limiter | None = None) -> None:
+    """A folder a table; as many tables at a time as the limiter has workers, one without it. Files have no rate."""
+    limiter = limiter or Limiter(workers=1)
+
+    def write(table: str) -> None:
+        with limiter:
+            tables[table].write.mode(mode).parquet(f"{path}/{table}")
+
+    with ThreadPoolExecutor(limiter.workers) as pool:
+        list(pool.map(write, tables))
 
 
 def preamble(model: SchemaModel, graph: Graph, engine: str, tables: Iterable[str], with_ddl: bool = True) -> list[str]:
@@ -49,8 +69,8 @@ def statements(tables: Mapping[str, DataFrame], model: SchemaModel, graph: Graph
     return union_all(parts)
 
 
-def write_sql(out: TextIO, tables: Mapping[str, DataFrame], model: SchemaModel, graph: Graph, engine: str = POSTGRES, schema: str = "public", with_ddl: bool = True) -> None:
-    """A dump to an open text file; rows stream through the driver one partition at a time, in no order within a table."""
+def write_sql(out: TextIO, tables: Mapping[str, DataFrame], model: SchemaModel, graph: Graph, engine: str = POSTGRES, schema: str = "public", with_ddl: bool = True, limiter: Limiter | None = None) -> None:
+    """A dump to an open text file; rows stream through the driver one partition at a time, in no order within a table, at the limiter's rate."""
     for line in preamble(model, graph, engine, tables, with_ddl):
         out.write(line + "\n")
     # table after table in the order of the mapping, without a sort of the whole dump
@@ -58,8 +78,10 @@ def write_sql(out: TextIO, tables: Mapping[str, DataFrame], model: SchemaModel,
     parts = [insert_statements(phase_one(df, cyclic.get(t, ())), engine, schema, t, model) for t, df in tables.items()]
     parts += [update_statements(df, engine, schema, t, model, c) for t, df in tables.items() for c in cyclic.get(t, ())]
     for part in parts:
-        for r in part.toLocalIterator(prefetchPartitions=True):
-            out.write(r.statement + "\n")
+        for rows in batches(part.toLocalIterator(prefetchPartitions=True), 1000):
+            if limiter:
+                limiter.acquire(len(rows))
+            out.writelines(r.statement + "\n" for r in rows)
     out.write("COMMIT;\n")
 
 

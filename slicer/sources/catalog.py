@@ -30,7 +30,7 @@ def load(columns: DataFrame, primary: DataFrame, foreign: DataFrame, *, engines:
     columns: table_name, column_name, data_type, is_nullable (YES/NO), ordinal_position;
     primary: table_name, column_name, ordinal_position; foreign: constraint_name, table_name, column_name,
     referenced_table_name, referenced_column_name, ordinal_position; engines: table_name, engine;
-    partitions: root, strategy, key, partition, bound; distribution: table_name, kind, column, colocation; shards: table_name.
+    partitions: root, strategy, key, partition, bound; distribution: table_name, kind, column, colocation and perhaps method; shards: table_name.
     """
     m = SchemaModel()
     for r in columns.orderBy("table_name", "ordinal_position").collect():
@@ -49,7 +49,7 @@ def load(columns: DataFrame, primary: DataFrame, foreign: DataFrame, *, engines:
             if not m.columns.get(root):  # a root without columns of its own has its children's
                 m.columns[root] = list(m.columns.get(rows[0].partition, ()))
     if distribution is not None:
-        m.distribution = {r.table_name: Distribution(r.kind, r.column or "", r.colocation or 0) for r in distribution.collect()}
+        m.distribution = {r.table_name: Distribution(r.kind, r.column or "", r.colocation or 0, r.asDict().get("method") or "") for r in distribution.collect()}
         for t in m.columns:
             m.distribution.setdefault(t, Distribution("local"))
     if shards is not None:
