@@ -72,6 +72,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Layers:
+    """Rows that come round by round, in checkpoints of doubling rounds: a row is copied a logarithmic number of times, however many rounds there are, and a read sees as few pieces."""
+
+    def __init__(self, first: DataFrame):
+        self.pieces = [(0, first)]
+
+    def add(self, df: DataFrame) -> None:
+        rank = 0
+        while self.pieces and self.pieces[-1][0] == rank:
+            df = checkpointed(self.pieces.pop()[1].unionByName(df))
+            rank += 1
+        self.pieces.append((rank, df))
+
+    def rows(self) -> DataFrame:
+        return union_all([df for _, df in self.pieces])
+
+
+def grown(known: dict[str, Layers], table: str, new: DataFrame) -> DataFrame:
+    """All rows of a table after ``new`` ones, in ``known``."""
+    if table in known:
+        known[table].add(new)
+    else:
+        known[table] = Layers(new)
+    return known[table].rows()
+
+
 class Traversal:
     def __init__(self, frames: Mapping[str, DataFrame], model: SchemaModel, config: Config | None = None, options: Options | None = None):
         self.model, self.config, self.options = model, config or Config(), options or Options()
@@ -213,13 +239,16 @@ class Traversal:
         """The whole component of ``seed`` under a self-reference, up and down."""
         down = list(zip(e.child_columns, e.parent_columns, strict=True))
         up = [(b, a) for a, b in down]
-        known = frontier = checkpointed(seed)
+        before, frontier = None, checkpointed(seed)
+        known = Layers(frontier)
         while not frontier.isEmpty():
             self.step()
             found = members(self.slim(table), frontier, down).unionByName(members(self.slim(table), frontier.dropna(subset=list(e.child_columns)), up))
-            frontier = checkpointed(self.minus(table, self.distinct(table, found), known))
-            known = checkpointed(known.unionByName(frontier))
-        return known
+            # steps go both ways, so rows next to a round belong to it, the one before or the one after
+            fresh = self.minus(table, self.minus(table, self.distinct(table, found), frontier), before)
+            before, frontier = frontier, checkpointed(fresh)
+            known.add(frontier)
+        return known.rows()
 
     def step(self) -> None:
         if self.options.gate:
@@ -291,6 +320,7 @@ class Traversal:
                 if parts:
                     fresh[t] = checkpointed(self.distinct(t, union_all(parts)))
                     owned[t] = fresh[t]
+            known = {t: Layers(df) for t, df in fresh.items()}
             while fresh:
                 after: dict[str, DataFrame] = {}
                 for t in c.tables:
@@ -300,7 +330,7 @@ class Traversal:
                     new = checkpointed(self.minus(t, found, owned.get(t)))
                     if not new.isEmpty():
                         after[t] = new
-                        owned[t] = checkpointed(owned[t].unionByName(new) if t in owned else new)
+                        owned[t] = grown(known, t, new)
                 fresh = after
             for t in c.tables:
                 if self.options.rows_per_table and t in owned:
@@ -341,6 +371,7 @@ class Traversal:
                     required[t] = checkpointed(new) if loops else self.keep(new)
             if loops:
                 fresh = {t: r for t in group if (r := rows(t)) is not None}
+                known = {t: Layers(required[t]) for t in group if t in required}
                 while fresh:
                     found: dict[str, list[DataFrame]] = {}
                     for t, source in fresh.items():
@@ -351,7 +382,7 @@ class Traversal:
                         new = checkpointed(admit(t, parts))
                         if not new.isEmpty():
                             fresh[t] = new
-                            required[t] = checkpointed(required[t].unionByName(new)) if t in required else new
+                            required[t] = grown(known, t, new)
             for t in group:
                 if (source := rows(t)) is not None:
                     for p, parts in pull(t, source).items():

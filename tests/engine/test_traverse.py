@@ -75,6 +75,30 @@ def test_self_reference(staff):
     assert ids(extract(frames, model, ["emp WHERE id = 4"], options=Options(closure=SINGLE_PASS, upstream=True)), "emp") == [1, 2, 3, 4]
 
 
+def test_long_chains_copy_rows_few_times(spark, monkeypatch):
+    """A chain both ways from its middle, a loop, a row that manages itself and null managers."""
+    from slicer.operators import traverse
+
+    n, stored = 20, []
+    rows = [(i, i - 1 if i > 1 else None) for i in range(1, n + 1)] + [(31, 33), (32, 31), (33, 32), (40, 40), (41, 40), (50, None)]
+    frames, model = world(spark, {"emp": ("id int, manager_id int", rows)}, [fk("emp", "manager_id", "emp")])
+    real = traverse.checkpointed
+    monkeypatch.setattr(traverse, "checkpointed", lambda df: (lambda out: (stored.append(out.count()), out)[1])(real(df)))
+    assert ids(extract(frames, model, ["emp WHERE id = 10"]), "emp") == [*range(1, n + 1)]
+    assert ids(extract(frames, model, ["emp WHERE id IN (32, 41)"]), "emp") == [31, 32, 33, 40, 41]
+    assert ids(extract(frames, model, ["emp WHERE id IN (10, 20, 50)"]), "emp") == [*range(1, n + 1), 50]
+    assert sum(stored) < 250  # 165; 353 where each round rewrites the whole set
+
+
+def test_layers(spark):
+    from slicer.operators.traverse import Layers
+
+    some = Layers(spark.range(0, 1))
+    for i in range(1, 13):
+        some.add(spark.range(i, i + 1))
+    assert [rank for rank, _ in some.pieces] == [3, 2, 0] and sorted(r.id for r in some.rows().collect()) == list(range(13))
+
+
 def test_cycle_of_tables(spark):
     frames, model = world(spark, {"users": ("id int, team_id int", [(10, 1), (11, 1), (12, 2), (13, None)]), "teams": ("id int, lead_id int", [(1, 10), (2, 11), (3, 13)])}, [fk("users", "team_id", "teams"), fk("teams", "lead_id", "users")])
     cut = extract(frames, model, ["users WHERE id = 10"], options=Options(upstream=True))
