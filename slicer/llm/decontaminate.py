@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slicer.llm.session import bound_batches
 from slicer.llm.words import WORD_BASES, Words, chunks, is_alnum, lower_ascii, windows, words
@@ -253,18 +254,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 10
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     n_words = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
     n_blocks = max(1, -(-n_words // block_words))
-    state, kept = docs, ""
+    state, kept = docs, []
     if carry:
-        whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-        state = documents.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        kept = f"row {state.schema['row'].dataType.simpleString()}, "
+        state = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        kept = [state.schema["row"]]
     state = state.withColumns({"spans": F.lit(b"").cast("binary"), "items": F.array().cast("array<string>")})
     counts = shingle_counts(docs, items)
     for i in range(n_blocks):
         rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == i).toLocalIterator()]  # about block_words words
         found = item_windows(rows, width)
         last = i == n_blocks - 1
-        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(build(found, counts)), last, carry), kept + (RESULT if last else STATE))
+        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(build(found, counts)), last, carry), StructType([*kept, *StructType.fromDDL(RESULT if last else STATE)]))
     return state
 
 

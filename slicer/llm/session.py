@@ -46,10 +46,12 @@ def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a temporary one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="slicer-checkpoint-"))
     return where or sc.getCheckpointDir()
 

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from slicer.llm.session import bound_batches, checkpointed
 from slicer.llm.words import SECOND_BYTE_BASE, U64, WORD_BASES, Words, chunks, is_plain, mix, windows, words
@@ -281,9 +282,9 @@ def deduplicated(documents: DataFrame, *, window: int = 20, **options) -> DataFr
     tagged = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tagged = tagged.withColumn("tag", tag)
     joined = tagged.join(spans, ["doc", "tag"], "left").select("row", "text", "spans")
-    schema = joined.select("row").schema["row"].dataType.simpleString()
-    done = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<bigint>"))).mapInArrow(_rewrite(window), f"row {schema}, kept string")
+    schema = StructType([joined.schema["row"], StructField("kept", StringType())])
+    done = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<bigint>"))).mapInArrow(_rewrite(window), schema)
     new = {"text": F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("row.text"))}
     if "n_chars" in documents.columns:
         new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType)
-    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slicer.llm.session import bound_batches, checkpointed
 
@@ -300,7 +301,7 @@ def clean(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of ``documents`` that are not predicted toxic, with all their columns and without a shuffle."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_clean(model), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(_clean(model), StructType([rows.schema["row"]])).select("row.*")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:

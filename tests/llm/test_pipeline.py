@@ -185,3 +185,40 @@ def test_near_copies_with_null_and_clashing_ids(spark):
     one_d, one_f = [t for i, t in pairs if t in (d, near(d))], [t for i, t in pairs if t in (f, near(f))]
     assert len(one_d) == len(one_f) == 1
     assert pairs == sorted([(None, a), (1, b), (1, c), (None, one_d[0]), (3, e), (4, "short"), (None, "lone"), (5, one_f[0])], key=str)
+
+
+def test_stages_with_odd_rows_and_columns(spark, folder):
+    """Null and repeated ids, null texts, columns whose names clash or need quotes: columns stay, clean rows stay, rows are whole."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    rows = [(None, text(40)), (None, text(40)), (2, text(40)), (2, text(41)), (3, None), (None, None), (4, ""), (5, text(45)), (6, "three words only"), (7, text(3000))]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ["row", "kept", "spans", "component", "doc", "tag", "label", "node", "id", "hash", "contaminated", "a b", "x.y", "q`q"]
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    docs = docs.withColumn("pair", F.struct(F.lit(1).alias("s t"))).withColumn("list", F.array(F.lit("x")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    got = docs.collect()
+    # so few labelled rows tell no word toxic; null and empty texts are equal copies, of which the least id stays
+    assert sorted((x.doc_id or 0, x.text or "") for x in got) == sorted((i or 0, t or "") for i, t in rows if (i, t) not in ((None, None), (4, "")))
+    assert all([x[n] for n in names] == [*range(len(names))] and x["pair"]["s t"] == 1 and x["list"] == ["x"] for x in got)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert sorted(p.doc_id or 0 for p in pieces if p.start == 0) == sorted(x.doc_id or 0 for x in got)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    rows, _, _ = documents(60)
+    empty = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, schema in empty.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        spark.createDataFrame(rows if name == "documents" else [], schema).write.parquet(f"{tmp_path}/some/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")  # nothing is known to be toxic, no item can leak
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name in ("toxicity", "decontamination"):
+            assert stage(spark, docs, f"{tmp_path}/some").count() == len(rows)
