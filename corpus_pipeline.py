@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one reads
 back from Parquet; all but the last keep the columns of ``documents``.
+
+Defined results: null and empty texts are not toxic, are copies of one another and of nothing
+else (the least doc_id stays), have no passages or leaks, and are packed as one end token. Rows with
+a null doc_id are documents of their own; of equal copies one with a doc_id stays before one without.
+Rows that share a doc_id but not the text are judged apart, equal rows are copies. Texts of any length are
+read whole. Further columns, whatever their names, are carried along; empty tables give no rows. Without
+labels nothing is toxic, without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
